@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
-from sightline.llm import exact_dedup, packing
+from sightline.llm import exact_dedup, langid, packing, quality_classifier, quality_rules, url_filters
 from sightline.llm.common import read
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark, sf_dir):
+    return quality_classifier.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_url_filters(spark, sf_dir):
+    return url_filters.judge(read(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark, sf_dir):
+    return langid.language_id(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_packing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op3_quality_rules, op4_quality_classifier, op6_url_filters, op7_packing, op9_language_id, op10_exact_dedup,
+)}
 
 ORACLES = {
+    "op6_url_filters": url_filters.oracle(),
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
