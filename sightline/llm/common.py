@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,7 +62,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
-    """mapInArrow with per-task state: make() runs once a task and returns batch -> dicts of columns."""
+    """mapInArrow with per-task state: make() runs once a task and returns batch -> dicts of columns;
+    what that function has as attribute finish runs after the last batch."""
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -69,12 +71,9 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
-                for columns in work(batch):
-                    yield pa.RecordBatch.from_arrays(
-                        [_array(columns[field.name], field.type) for field in arrow], schema=arrow
-                    )
+        found = (columns for batch in batches if batch.num_rows for columns in work(batch))
+        for columns in chain(found, (columns for last in [getattr(work, "finish", tuple)] for columns in last())):
+            yield pa.RecordBatch.from_arrays([_array(columns[field.name], field.type) for field in arrow], schema=arrow)
 
     return df.mapInArrow(run, struct)
 
@@ -95,3 +94,9 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
             begin, total = i, 0
         total += n
     yield batch.slice(begin)
+
+
+def keep_rows(docs: DataFrame, dropped: DataFrame, sent: int = 500_000) -> DataFrame:
+    """docs without the rows whose id is in dropped; ids are broadcast up to sent, else both are shuffled."""
+    ids = durable(dropped.distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= sent else ids, "doc_id", "left_anti").select(*docs.columns)

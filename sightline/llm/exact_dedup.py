@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import durable, map_batches, slices, texts
+from sightline.llm.common import ascii_lower, durable, map_batches, slices, texts
 
 WINDOW, LEAST, MOST = 16, 512, 16384
 MASK = np.uint32(0x7FF)  # a cut every 2 KB on average
@@ -173,6 +173,18 @@ def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> D
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the rows that stay, with the columns of docs."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """Pipeline stage: the rows that stay, with the columns of docs. Of rows that repeat both id and text
+    one stays."""
+    from sightline.llm.common import keep_rows
+
+    found = durable(exact_dedup(docs), "decisions")
+    ids = found.groupBy("doc_id").agg(F.max("kept").alias("any"), F.count("*").alias("n"))
+    docs = keep_rows(docs, ids.where("NOT any AND doc_id IS NOT NULL").select("doc_id"))
+    again = durable(ids.where("any AND n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return docs
+    own = docs.join(again, "doc_id", "left_semi").withColumn("folded_text", ascii_lower(F.coalesce("text", F.lit(""))))
+    stays = found.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.col("text_sha256").alias("kept_sha"))
+    own = own.join(stays, ["doc_id"]).where(F.sha2("folded_text", 256) == F.col("kept_sha"))
+    own = own.dropDuplicates(["doc_id", "folded_text"]).select(*docs.columns)
+    return docs.join(again, "doc_id", "left_anti").select(*own.columns).unionByName(own)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sightline.llm import exact_dedup, langid, packing, quality_classifier, quality_rules, url_filters
+from sightline.llm import exact_dedup, langid, ngram_join, packing, quality_classifier, quality_rules, url_filters
 from sightline.llm.common import read
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_quality_rules, op4_quality_classifier, op6_url_filters, op7_packing, op9_language_id, op10_exact_dedup,
+    op2_ngram_join, op3_quality_rules, op4_quality_classifier, op6_url_filters, op7_packing, op9_language_id, op10_exact_dedup,
 )}
 
 ORACLES = {

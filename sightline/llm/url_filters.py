@@ -42,7 +42,7 @@ ALLOWED = (
     "news library museum university science history travel cooking garden school research weather health "
     "journal archive books music theater city council forum recipes football photography astronomy biology "
     "chemistry physics mathematics language dictionary encyclopedia mail maps software docs support wiki "
-    "community parliament court hospital station tionsh thering ththon tionble therin ththat therst tiontion"
+    "community parliament court hospital station national regional another thornton harrington bather hither"
 ).split()
 TOPS = ("example.com", "example.org", "example.net")
 FRONTS = ("", "www.", "m.", "blog.")
