@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm import exact_dedup, langid, ngram_join, packing, quality_classifier, quality_rules, url_filters
+from sightline.llm import exact_dedup, langid, ngram_join, packing, pii, quality_classifier, quality_rules, url_filters
 from sightline.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_pii(spark, sf_dir):
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     return langid.language_id(read(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_join, op3_quality_rules, op4_quality_classifier, op6_url_filters, op7_packing, op9_language_id, op10_exact_dedup,
+    op2_ngram_join, op3_quality_rules, op4_quality_classifier, op6_url_filters, op7_packing, op8_pii, op9_language_id, op10_exact_dedup,
 )}
 
 ORACLES = {
