@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm import exact_dedup, langid, ngram_join, packing, pii, quality_classifier, quality_rules, url_filters
+from sightline.llm import exact_dedup, langid, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filters
 from sightline.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op4_quality_classifier(spark, sf_dir):
     return quality_classifier.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark, sf_dir):
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
@@ -41,7 +45,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_join, op3_quality_rules, op4_quality_classifier, op6_url_filters, op7_packing, op8_pii, op9_language_id, op10_exact_dedup,
+    op2_ngram_join, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_url_filters, op7_packing, op8_pii, op9_language_id, op10_exact_dedup,
 )}
 
 ORACLES = {
