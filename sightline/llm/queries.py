@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from sightline.llm import exact_dedup, langid, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, url_filters
+from sightline.llm import exact_dedup, langid, ngram_join, packing, pii, quality_classifier, quality_rules, sentencepiece_fst, suffix_dedup, url_filters
 from sightline.llm.common import read
 
 
+def op1_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    return sentencepiece_fst.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
 
@@ -45,7 +51,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_join, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_url_filters, op7_packing, op8_pii, op9_language_id, op10_exact_dedup,
+    op1_sentencepiece, op2_ngram_join, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_url_filters, op7_packing, op8_pii, op9_language_id, op10_exact_dedup,
 )}
 
 ORACLES = {
