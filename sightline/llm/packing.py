@@ -17,50 +17,101 @@ from __future__ import annotations
 import os
 import zlib
 from itertools import chain
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import durable, map_batches, texts
+from sightline.llm.common import durable, map_batches, slices, texts
 
-LIMIT, END, GROUP, CACHE = 4096, 2, 2048, 300_000
+LIMIT, END, GROUP, CACHE = 4096, 2, 2048, 350_000
 PIECES = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """ids of whole texts through a bounded cache of words."""
+    """Little-endian 32-bit ids of whole texts through two generations of known words: when the younger
+    is full, the older goes. A worker process keeps its words from task to task."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.cache = Tokenizer.from_file(path), {}, cache
-
-    def __call__(self, text: str) -> np.ndarray:
-        words, known = text.encode().split(), self.words
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > self.cache:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = e.ids
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), "<u4")
+        self.tokenizer, self.young, self.old, self.cache = Tokenizer.from_file(path), {}, {}, cache
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [text.encode().split() for text in texts]
+        words = set(chain.from_iterable(split))
+        if len(self.young) + len(words) > self.cache:
+            self.young, self.old = {}, self.young
+        young, old, new, joined = self.young, self.old, set(), []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                    continue
+                base = w.rstrip(b".,")
+                if base[-1:].isalnum() and b"<|" not in base:  # marks behind a letter or digit, and A-Z, have no say in its ids
+                    parts = base.lower(), w[len(base) :]
+                    new.update(x for x in parts if x and x not in young)
+                    joined.append((w, *parts))
+                else:
+                    new.add(w)
+        plain, other = [], []
+        for w in new:
+            text = w.decode()
+            (plain if text.isalpha() and text.lower().isalpha() else other).append(text)
+        for i in range(0, len(plain), 4096):
+            if not self._at_once(part := plain[i : i + 4096]):
+                other += part
+        for text, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            ids = e.ids
+            young[text.encode()] = pack_ids(f"<{len(ids)}I", *ids)
+        for w, base, marks in joined:
+            young[w] = young[base] + young[marks] if marks else young[base]
+        return [b"".join(map(young.__getitem__, w)) for w in split]
+
+    def _at_once(self, words: list[str]) -> bool:
+        """Words of letters alone, as one text: each ends with its only id that ends a word."""
+        (coded,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(coded.ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return False
+        raw, begin = ids.tobytes(), 0
+        for w, end in zip(words, ends):
+            self.young[w.encode()] = raw[begin:end]
+            begin = end
+        return True
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
     def make():
-        encode = Encoder(tokenizer)
+        encode, last = encoder(tokenizer), pack_ids("<I", end)
 
         def work(batch):
             rows = []
-            for uid, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text"))):
-                ids = np.append(encode(text), np.uint32(end)).astype("<u4")
-                for start in range(0, len(ids), limit):
-                    part = ids[start : start + limit]
-                    rows.append((uid, doc_id, start, len(part), zlib.crc32(part.tobytes()), len(ids)))
+            for cut in slices(batch, "text"):
+                uids, doc_ids, texts_ = (cut.column(c).to_pylist() for c in ("uid", "doc_id", "text"))
+                for uid, doc_id, ids in zip(uids, doc_ids, encode(texts_)):
+                    ids += last
+                    for start in range(0, len(ids), 4 * limit):
+                        part = ids[start : start + 4 * limit]
+                        rows.append((uid, doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
             yield {k: [r[i] for r in rows] for i, k in enumerate(("uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"))}
 
         return work
