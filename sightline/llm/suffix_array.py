@@ -1,35 +1,27 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement, and Kasai's common prefixes by runs."""
+"""Suffix arrays in numpy: Larsson-Sadakane refinement, and Kasai's common prefixes by runs.
+
+Texts are arrays of whole numbers below 2^64, so that a symbol can be a byte or eight of them.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 
-def eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one big-endian number; zeros after the end."""
-    x = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for width in (1, 2, 4):
-        x = x[:-width] << np.uint64(8 * width) | x[width:]
-    return x[: len(data)]
-
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of text ordered by their first depth symbols at least.
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of data ordered by their first depth bytes at least.
-
-    The first sort takes eight bytes at once; each round then doubles the sorted depth, and only the
-    groups that are not yet single are sorted again, by their own and their h-th follower's group.
+    The first sort takes one symbol; each round then doubles the sorted depth, and only the groups that are
+    not yet single are sorted again, by their own and their h-th follower's group.
     """
-    n = len(data)
-    first = eights(data)
-    sa = np.argsort(first)
-    new = np.concatenate([[True], first[sa[1:]] != first[sa[:-1]]]) if n else np.empty(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    n = len(text)
+    sa = np.argsort(text)
+    new = np.concatenate([[True], text[sa[1:]] != text[sa[:-1]]]) if n else np.empty(0, bool)
     rank = np.empty(n + 1, np.int64)
-    rank[sa], rank[n] = head, -1
-    h = 8
+    rank[sa], rank[n] = np.maximum.accumulate(np.where(new, np.arange(n), 0)), -1
+    h = 1
     while h < depth:
-        single = new & np.append(new[1:], True)
-        at = np.flatnonzero(~single)
+        at = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(at):
             break
         own = sa[at]
@@ -38,48 +30,41 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         key = key[order]
         sa[at] = own[order]
         new[at[1:]] |= key[1:] != key[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[sa] = head
+        rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         h *= 2
     return sa
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each place in sa the common prefix with the place before, exact up to most bytes.
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """For each place in sa the common prefix with the place before, in symbols, most at most.
 
     In text order a suffix whose predecessor lies at the same distance as its left neighbour's has that
-    neighbour's prefix less one (Kasai); only the heads of such runs are compared, all at once.
+    neighbour's prefix less one (Kasai), until the prefix is used up; only the heads of such runs are
+    compared, all at once, and to one more symbol for each place of the run.
     """
-    n = len(data)
-    if n == 0:
-        return np.empty(0, np.int64)
+    n = len(text)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     distance = np.where(before >= 0, np.arange(n) - before, 0)
-    heads = np.flatnonzero(np.concatenate([[True], distance[1:] != distance[:-1]]))
-    real = heads[before[heads] >= 0]
-    words = np.concatenate([eights(data), np.zeros(most + 16, np.uint64)])
-    length, going = np.zeros(len(real), np.int64), np.arange(len(real))
-    a, b = real, before[real]
-    for step in range(0, most + 8, 8):
-        same = words[a[going] + step] == words[b[going] + step]
-        stopped = going[~same]
-        if len(stopped):
-            x = words[a[stopped] + step] ^ words[b[stopped] + step]
-            lead = np.zeros(len(stopped), np.int64)
-            for k in range(1, 8):
-                lead += (x >> np.uint64(64 - 8 * k)) == 0
-            length[stopped] = step + lead
-        going = going[same]
-        if not len(going):
-            break
-    length[going] = most + 8
-    length = np.minimum(length, n - np.maximum(a, b))
-    at_head = np.zeros(n, np.int64)
-    at_head[real] = length
+    heads = np.flatnonzero(np.concatenate([[True], distance[1:] != distance[:-1]])) if n else np.empty(0, np.int64)
+    ends = np.append(heads[1:], n)[: len(heads)]
+    real = before[heads] >= 0
+    own, end, at_head = heads[real], ends[real], np.zeros(n, np.int64)
     head_of = np.zeros(n, np.int64)
     head_of[heads] = heads
+    while len(own):
+        other = before[own]
+        reach = np.minimum(most + end - own - 1, n - np.maximum(own, other))
+        length, going = np.zeros(len(own), np.int64), np.flatnonzero(reach > 0)
+        while len(going):
+            going = going[text[own[going] + length[going]] == text[other[going] + length[going]]]
+            length[going] += 1
+            going = going[length[going] < reach[going]]
+        at_head[own] = length
+        head_of[own] = own
+        more = own + length + 1 < end  # the prefix is used up within the run: its rest is a run of its own
+        own, end = (own + length + 1)[more], end[more]
     head_of = np.maximum.accumulate(head_of)
     by_text = np.maximum(at_head[head_of] - (np.arange(n) - head_of), 0)
     by_text[before < 0] = 0
-    return by_text[sa]
+    return np.minimum(by_text, most)[sa]

@@ -5,10 +5,10 @@
    around them; only hashes travel.
 2. An anchor's surroundings are the at most 2 * LENGTH - GRAM bytes that strings with it can reach. Where all
    of them occur again, all are repeated. Anchors that occur in different surroundings remain.
-3. One copy of each of those surroundings goes to a shard by its anchor, so that equal strings meet. A shard
-   is sorted into a suffix array (Larsson-Sadakane), Kasai's common prefixes tell the repeated strings. An
-   anchor that spans shards is merged by binary search: the strings still open in one are looked up in the
-   others' arrays. Anchors with more than HOT surroundings are first split by the bytes to the left or right:
+3. One copy of each of those surroundings goes to a shard by its anchor, so that equal strings meet. In a shard
+   what follows the anchors, and, read backwards, what precedes them are sorted into suffix arrays
+   (Larsson-Sadakane); Kasai's common prefixes tell which strings are repeated. Shards that share an anchor are
+   merged by binary search of one's suffixes in the other's order. Anchors with more than HOT surroundings are first split by the bytes to the left or right:
    every string holds one half or the other, so halves are groups of their own, again and again.
 
 Texts that occur twice are repeated as a whole; a task uses one copy of those it meets. Hashes have 64 bits.
@@ -31,7 +31,7 @@ from sightline.llm.common import durable, map_batches, slices, texts
 from sightline.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 100
-SHARD, HOT, SENT = 1 << 20, 8192, 500_000
+SHARD, HOT, SENT = 2048, 8192, 500_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -203,108 +203,133 @@ def halves(rows: DataFrame, level: int, length: int, gram: int) -> DataFrame:
     return map_batches(rows, SURROUNDED, make)
 
 
-class Shard:
-    """Some surroundings, their suffix array, and which of their strings are repeated."""
-
-    def __init__(self, rows: list[tuple], length: int):
-        self.rows, self.length = rows, length
-        sizes = np.array([len(r[7]) for r in rows])
-        self.data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
-        self.ends = np.cumsum(sizes)
-        begin = self.ends - sizes
-        self.row = np.repeat(np.arange(len(rows)), sizes)
-        place = np.arange(len(self.data))
-        self.whole = place + length <= self.ends[self.row]
-        cls, start = (np.array([r[i] for r in rows], np.int64) for i in (3, 4))
-        self.many = np.array([r[6] for r in rows], bool)[self.row]
-        absolute = start[self.row] + place - begin[self.row]  # one string seen from two anchors is one string
-        self.owner = cls[self.row].astype(np.uint64) * np.uint64(_BASE) ^ absolute.astype(np.uint64)
-        sa = suffix_array(self.data, length)
-        lcp = common_prefixes(self.data, sa, 2 * length)
-        groups = np.cumsum(lcp < length) - 1
-        some = self.whole[sa]
-        self.sa, groups = sa[some], groups[some]
-        self.repeated = np.zeros(len(self.data), bool)
-        if len(self.sa):
-            self.firsts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-            owner = self.owner[self.sa]
-            several = np.minimum.reduceat(owner, self.firsts) != np.maximum.reduceat(owner, self.firsts)
-            several |= np.logical_or.reduceat(self.many[self.sa], self.firsts)
-            self.repeated[self.sa] = np.repeat(several, np.diff(np.append(self.firsts, len(self.sa))))
-
-    def string(self, place: int) -> bytes:
-        return self.data[place : place + self.length].tobytes()
-
-    def merge(self, other: Shard, key: int) -> None:
-        """Look the strings of key that are open here up in the other's array by binary search."""
-        own = np.array([r[0] for r in self.rows])[self.row] == key
-        for place in np.flatnonzero(own & self.whole & ~self.repeated).tolist():
-            wanted, low, high = self.string(place), 0, len(other.sa)
-            while low < high:
-                mid = (low + high) // 2
-                if other.string(other.sa[mid]) < wanted:
-                    low = mid + 1
-                else:
-                    high = mid
-            while low < len(other.sa) and other.string(other.sa[low]) == wanted:
-                if other.many[other.sa[low]] or other.owner[other.sa[low]] != self.owner[place]:
-                    self.repeated[place] = True
-                    other.repeated[other.sa[low]] = True
-                low += 1
+class Side:
+    """One side's bytes of some surroundings (rows of a matrix, the key first), sorted."""
+
+    def __init__(self, matrix: np.ndarray, order: np.ndarray, prefix: np.ndarray):
+        self.matrix, self.order, self.prefix = matrix, order, prefix
+
+    @classmethod
+    def built(cls, matrix: np.ndarray) -> Side:
+        """A sparse suffix array: of the suffixes of the rows laid end to end, eight bytes a symbol, those
+        that begin a row; and the bytes that each has in common with the one before."""
+        m, width = matrix.shape
+        symbols = matrix.view(">u8").astype(np.uint64).ravel()
+        per_row = width // 8
+        sa = suffix_array(symbols, per_row)
+        lcp = common_prefixes(symbols, sa, per_row)
+        places = np.flatnonzero(sa % per_row == 0)
+        order = sa[places] // per_row
+        low = np.minimum.reduceat(lcp[: places[-1] + 1], np.append(0, places[:-1] + 1))  # over all the suffixes between two rows
+        prefix = 8 * low
+        part = np.flatnonzero(low[1:] < per_row) + 1
+        x, y = order[part] * per_row + low[part], order[part - 1] * per_row + low[part]
+        differ = symbols[x] ^ symbols[y]
+        for k in range(1, 8):
+            prefix[part] += (differ >> np.uint64(64 - 8 * k)) == 0
+        prefix[:1] = 0
+        return cls(matrix, order, prefix)
+
+    def merged(self, other: Side) -> Side:
+        """Two shards' orders in one: the other's rows find their places here by binary search."""
+        width = self.matrix.shape[1]
+        mine, theirs = (np.ascontiguousarray(s.matrix[s.order]).view(f"S{width}").ravel() for s in (self, other))
+        order = np.insert(self.order, np.searchsorted(mine, theirs, "right"), other.order + len(self.matrix))
+        matrix = np.concatenate([self.matrix, other.matrix])
+        rows = matrix[order]
+        differ = rows[1:] != rows[:-1]
+        prefix = np.where(differ.any(1), differ.argmax(1), width)
+        return Side(matrix, order, np.append(0, prefix))
+
+    def groups(self, most: int) -> np.ndarray:
+        """For each row and depth 0 to most a number that rows share whose key and first depth bytes agree."""
+        m = len(self.order)
+        starts = self.prefix[:, None] < 8 + np.arange(most + 1)[None, :]
+        out = np.empty((m, most + 1), np.int64)
+        out[self.order] = np.maximum.accumulate(np.where(starts, np.arange(m)[:, None], 0), axis=0)
+        return out
 
-    def found(self) -> dict:
-        """Runs of repeated strings: fp, ctx, cls, start and end of the bytes they cover."""
-        on = np.concatenate([[False], self.repeated, [False]])
-        first, last = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(on[:-1] & ~on[1:])
-        row = self.row[first]
-        begin = np.append(0, self.ends[:-1])[row]
-        part = {k: np.array([r[i] for r in self.rows], np.int64)[row] for i, k in ((1, "fp"), (2, "ctx"))}
-        anchor = np.array([r[4] for r in self.rows], np.int64)[row]
-        return part | {"start": anchor + first - begin, "end": anchor + last - 1 - begin + self.length}
 
+class Shard:
+    """Some surroundings by key and anchor; which of the strings that hold their anchor are repeated."""
+
+    def __init__(self, rows: list[tuple], length: int, size: int, sides: tuple[Side, Side] | None = None):
+        self.rows, self.length, self.size, self.free = rows, length, size, length - size
+        if sides is None:
+            width = 8 + -(-self.free // 8) * 8
+            left, right = (np.zeros((len(rows), width), np.uint8) for _ in range(2))
+            for i, row in enumerate(rows):
+                at, body = row[5], row[7]
+                head = (row[0] + (1 << 63)).to_bytes(8, "big")
+                before, after = body[max(0, at - self.free) : at][::-1], body[at + size : at + length]
+                left[i, : 8 + len(before)] = np.frombuffer(head + before, np.uint8)
+                right[i, : 8 + len(after)] = np.frombuffer(head + after, np.uint8)
+            sides = Side.built(left), Side.built(right)
+        self.sides = sides
+
+    def merged(self, other: Shard) -> Shard:
+        sides = tuple(mine.merged(theirs) for mine, theirs in zip(self.sides, other.sides))
+        return Shard(self.rows + other.rows, self.length, self.size, sides)
 
-def sharded(rows: DataFrame, length: int) -> DataFrame:
-    """fp, ctx, start, end: repeated bytes of the text that each surroundings came from."""
+    def found(self) -> dict:
+        """fp, ctx, and start and end of the bytes covered by runs of repeated strings."""
+        m, free = len(self.rows), self.free
+        cls, start, at = (np.array([r[i] for r in self.rows], np.int64) for i in (3, 4, 5))
+        many = np.array([r[6] for r in self.rows], bool)
+        after = np.array([len(r[7]) for r in self.rows]) - at - self.size
+        back = np.arange(free + 1)  # bytes of a string before its anchor
+        whole = (back <= at[:, None]) & (free - back <= after[:, None])
+        left, right = (side.groups(free) for side in self.sides)
+        key = (left * m + right[:, ::-1]) * (free + 1) + back
+        row, col = np.nonzero(whole)
+        key = key[row, col]
+        owner = cls[row].astype(np.uint64) * np.uint64(_BASE) ^ (start[row] + at[row] - col).astype(np.uint64)
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        repeated = np.zeros((m, free + 3), bool)  # a frame of False around
+        if len(firsts):
+            several = np.minimum.reduceat(owner, firsts) != np.maximum.reduceat(owner, firsts)
+            several |= np.logical_or.reduceat(many[row[order]], firsts)
+            repeated[row[order], col[order] + 1] = np.repeat(several, np.diff(np.append(firsts, len(key))))
+        r, first = np.nonzero(repeated[:, 1:] & ~repeated[:, :-1])
+        _, last = np.nonzero(repeated[:, :-1] & ~repeated[:, 1:])
+        anchor = start[r] + at[r]
+        names = {k: np.array([x[i] for x in self.rows], np.int64)[r] for i, k in ((1, "fp"), (2, "ctx"))}
+        return names | {"start": anchor - (last - 1), "end": anchor - first + self.length}
+
+
+def sharded(rows: DataFrame, length: int, size: int) -> DataFrame:
+    """fp, ctx, start, end: repeated bytes of the text that each surroundings came from; anchors have size
+    bytes."""
 
     def make():
-        held, weight, open_shards = [], [0], []
+        held, open_shard = [], []
 
         def build(last: bool):
-            if not held:
-                return
-            shard = Shard(held[:], length)
-            first, final = held[0][0], held[-1][0]
-            if open_shards and open_shards[0].rows[-1][0] == first:
-                for other in open_shards:
-                    shard.merge(other, first)
-                    other.merge(shard, first)
-            else:
-                for other in open_shards:
-                    yield other.found()
-                open_shards.clear()
-            if first != final or last:  # the anchor that spanned the shards so far has ended
-                for other in open_shards:
+            if held:
+                shard = Shard(held[:], length, size)
+                held.clear()
+                if open_shard and open_shard[0].rows[-1][0] == shard.rows[0][0]:
+                    open_shard[0] = open_shard[0].merged(shard)
+                else:
+                    for other in open_shard:
+                        yield other.found()
+                    open_shard[:] = [shard]
+            if last:
+                for other in open_shard:
                     yield other.found()
-                open_shards.clear()
-            open_shards.append(shard)
-            held.clear()
-            weight[0] = 0
+                open_shard.clear()
 
         def work(batch):
-            columns = [batch.column(c).to_pylist() for c in ("key", "fp", "ctx", "cls", "start", "at", "many", "body")]
-            for row in zip(*columns):
-                if weight[0] > SHARD:
-                    yield from build(False)
-                held.append(row)
-                weight[0] += len(row[7])
-
-        def finish():
-            yield from build(True)
-            for other in open_shards:
-                yield other.found()
-            open_shards.clear()
-
-        work.finish = finish
+            for cut in slices(batch, "body", 1 << 20):
+                for row in zip(*(cut.column(c).to_pylist() for c in ("key", "fp", "ctx", "cls", "start", "at", "many", "body"))):
+                    # a shard ends with its anchor if it can; the anchor that spans shards is merged alone
+                    if held and (len(held) >= SHARD or len(held) >= SHARD // 2 and held[-1][0] != row[0]):
+                        yield from build(False)
+                    held.append(row)
+
+        work.finish = lambda: build(True)
         return work
 
     placed = rows.repartition("key").sortWithinPartitions("key")
@@ -345,6 +370,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None)
 
     counted = anchored(docs, length, gram).groupBy("fp").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
     twice = counted.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
+    twice = durable(twice, "twice")  # read back, so that the join can split an anchor that a large share of the rows has
     found = durable(anchored(docs, length, gram).join(twice, "fp"), "anchors")
     kinds = found.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("cls", "pos")).alias("one"))
     kinds = durable(kinds, "kinds")
@@ -358,15 +384,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None)
     counts = durable(kinds.where("mixed").groupBy("fp").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select(F.col("fp").alias("key")), "hot")
     while not counts.isEmpty():  # at most log2 of the free bytes: then a string is its own key
         bodies = durable(bodies, f"bodies{level}")
-        results.append(sharded(bodies.join(counts, "key", "left_anti"), length))
+        results.append(sharded(bodies.join(counts, "key", "left_anti"), length, length - (length - gram >> level)))
         bodies = durable(halves(bodies.join(counts, "key", "left_semi"), level, length, gram), f"halves{level}")
         met = bodies.groupBy("key").agg(F.count("*").alias("m"), F.min("body").alias("low"), F.max("body").alias("high"))
         bodies = bodies.join(durable(met.where("m > 1").select("key"), "met"), "key", "left_semi")
         level += 1
-        if length - gram >> level == 0:
+        if length - gram >> level == 0:  # a key is a string
             break
         counts = durable(met.where((F.col("m") > HOT) & (F.col("low") != F.col("high"))).select("key"), "hot")
-    results.append(sharded(bodies, length))
+    results.append(sharded(bodies, length, length - (length - gram >> level)))
     marked = results[0]
     for more in results[1:]:
         marked = marked.unionByName(more)

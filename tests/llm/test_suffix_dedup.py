@@ -65,30 +65,30 @@ def test_shards_merge_by_binary_search():
     passage = bytes(rng.choice(b"abcd") for _ in range(90))
     rows = []
     for i in range(60):
-        cut = rng.randint(0, 40)
-        body = bytes(rng.choice(b"wxyz") for _ in range(rng.randint(0, 30))) + passage[cut : cut + 60] + bytes([rng.choice(b"mn")] * 8)
-        rows.append((7, 7, i, i, 0, 0, False, body))
-    whole = suffix_dedup.Shard(rows, 40)
-    parts = [suffix_dedup.Shard(rows[i : i + 9], 40) for i in range(0, 60, 9)]
-    for p in parts:
-        for q in parts:
-            if p is not q:
-                p.merge(q, 7)
-    assert np.array_equal(np.concatenate([p.repeated for p in parts]), whole.repeated) and whole.repeated.any()
+        a, b = rng.randint(0, 20), rng.randint(0, 20)
+        body = bytes(rng.choice(b"wxyz") for _ in range(20 - a)) + passage[30 - a : 50 + b] + bytes(rng.choice(b"mn") for _ in range(20 - b))
+        rows.append((7, 7, i, i, 0, 20, False, body[: rng.choice([60, 60, 50])]))
+    whole = suffix_dedup.Shard(rows, 40, 20).found()
+    merged = suffix_dedup.Shard(rows[:9], 40, 20)
+    for i in range(9, 60, 9):
+        merged = merged.merged(suffix_dedup.Shard(rows[i : i + 9], 40, 20))
+    got = merged.found()
+    assert len(whole["fp"]) > 20 and all(np.array_equal(whole[k], got[k]) for k in whole)
 
 
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 7, 300):
-        data = rng.integers(97, 99, n).astype(np.uint8)
-        data[n // 2 :] = data[: n - n // 2]
-        raw = data.tobytes()
-        sa = suffix_array(data, 512)
-        assert sa.tolist() == sorted(range(n), key=lambda i: raw[i:])
-        for k, got in enumerate(common_prefixes(data, sa, 400).tolist()):
-            if k:
-                a, b = raw[sa[k - 1] :], raw[sa[k] :]
-                assert got == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for _ in range(600):
+        n, depth = int(rng.integers(0, 60)), int(rng.integers(1, 70))
+        data = rng.integers(0, rng.choice([2, 3, 9]), n).astype(np.uint64)
+        if rng.random() < 0.5:
+            data[n // 2 :] = data[: n - n // 2]
+        text = data.tolist()
+        sa = suffix_array(data, depth)
+        heads = [tuple(text[i : i + depth]) for i in sa]
+        assert sorted(sa.tolist()) == list(range(n)) and heads == sorted(heads)
+        got = common_prefixes(data, sa, depth).tolist()
+        assert got[1:] == [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(heads, heads[1:])]
 
 
 def test_empty_table(spark):
