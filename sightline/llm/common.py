@@ -61,6 +61,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+_KEPT: dict = {}
+_CALLS = [0]
+
+
+def keep(key: tuple, make: Callable):
+    """A worker process's one large thing that later tasks of the same operator use again."""
+    _CALLS[0] += 1
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
     """mapInArrow with per-task state: make() runs once a task and returns batch -> dicts of columns;
     what that function has as attribute finish runs after the last batch."""
@@ -70,7 +83,10 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calls = _CALLS[0]
         work = make()
+        if _CALLS[0] == calls:  # an operator without such a thing frees what others kept
+            _KEPT.clear()
         found = (columns for batch in batches if batch.num_rows for columns in work(batch))
         for columns in chain(found, (columns for last in [getattr(work, "finish", tuple)] for columns in last())):
             yield pa.RecordBatch.from_arrays([_array(columns[field.name], field.type) for field in arrow], schema=arrow)
@@ -84,9 +100,9 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) and values.type == kind else pa.array(values, kind)
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each cut holds about limit bytes of text, but one row at least."""
-    sizes = pc.binary_length(batch.column(text)).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     begin, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import durable, map_batches, slices, texts
+from sightline.llm.common import durable, keep, map_batches, slices, texts
 
 LIMIT, END, GROUP, CACHE = 4096, 2, 2048, 350_000
 PIECES = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -90,18 +90,9 @@ class Encoder:
         return True
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
     def make():
-        encode, last = encoder(tokenizer), pack_ids("<I", end)
+        encode, last = keep(("encoder", tokenizer), lambda: Encoder(tokenizer)), pack_ids("<I", end)
 
         def work(batch):
             rows = []

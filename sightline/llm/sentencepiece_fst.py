@@ -27,13 +27,15 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from sightline.llm.common import map_batches, slices, texts
+from sightline.llm.common import keep, map_batches, slices, texts
 
 MARK = "▁"
 #: Units and accepted pairs kept in a generation of the caches; longer units are not kept.
 UNITS, PAIRS, LONGEST = 250_000, 300_000, 48
 #: The fallback's cost: dearer than any path of pieces over one character.
 FALLBACK = 1_000.0
+#: Marks that mostly stand behind a word which is known without them.
+MARKS = ".,"
 UNIGRAM, BPE = 1, 2
 
 
@@ -142,26 +144,48 @@ class Transducer:
         return known
 
     # composition and the shortest path
+    def arcs(self, unit: str, i: int) -> list[tuple]:
+        """(end, piece, ids, cost) of the arcs that leave place i, shorter ones first."""
+        out, node = [], self.trie
+        for j in range(i, len(unit)):
+            node = node.get(unit[j])
+            if node is None:
+                break
+            if "" in node:
+                piece, number, cost = node[""]
+                out.append((j + 1, piece, (number,), cost))
+        if not out or out[0][0] > i + 1:
+            c, model = unit[i], self.model
+            raw = tuple(model.bytes_of[b] for b in c.encode()) if model.fallback else (model.unknown,)
+            out.insert(0, (i + 1, c, raw, FALLBACK))
+        return out
+
+    def accepted(self, unit: str) -> list[int]:
+        """For bpe, where only one path is accepted and so is the shortest: states are composed as a search
+        from long to short arcs comes to them, and those that lead nowhere are met once."""
+        path, dead = [(0, None, ())], set()
+        waiting = [self.arcs(unit, 0)]
+        while path[-1][0] < len(unit):
+            last = path[-1][1]
+            if not waiting[-1]:
+                waiting.pop()
+                dead.add(path.pop()[:2])
+                continue
+            arc = waiting[-1].pop()
+            if arc[:2] not in dead and self.follows(last, arc[1]):
+                path.append(arc)
+                waiting.append(self.arcs(unit, arc[0]) if arc[0] < len(unit) else [])
+        return list(chain.from_iterable(a[2] for a in path))
+
     def shortest(self, unit: str) -> list[int]:
         """Ids of the cheapest accepted path; a state is a place and, for bpe, the piece before it."""
-        bpe, model = self.model.type == BPE, self.model
+        bpe = self.model.type == BPE
         states: list[dict] = [{} for _ in range(len(unit) + 1)]
         states[0][None] = (0.0, None, ())
         for i in range(len(unit)):
             if not states[i]:
                 continue
-            arcs, node = [], self.trie
-            for j in range(i, len(unit)):
-                node = node.get(unit[j])
-                if node is None:
-                    break
-                if "" in node:
-                    piece, number, cost = node[""]
-                    arcs.append((j + 1, piece, (number,), cost))
-            if not arcs or arcs[0][0] > i + 1:
-                c = unit[i]
-                raw = tuple(model.bytes_of[b] for b in c.encode()) if model.fallback else (model.unknown,)
-                arcs.append((i + 1, c, raw, FALLBACK))
+            arcs = self.arcs(unit, i)
             for last, (cost, _, _) in states[i].items():
                 for end, piece, numbers, weight in arcs:
                     if not bpe or self.follows(last, piece):
@@ -175,19 +199,33 @@ class Transducer:
             place = back
         return list(chain.from_iterable(reversed(out)))
 
+    def _found(self, unit: str) -> bytes:
+        ids = (self.accepted if self.model.type == BPE else self.shortest)(unit)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _extended(self, unit: str) -> bytes:
+        """A unit and a mark behind it: if the acceptor lets the mark follow, the unit's path goes on with it."""
+        base, mark = unit[:-1], unit[-1]
+        ids = self.young.get(base) or self.old.get(base)
+        if ids is None:
+            ids = self.young[base] = self._found(base)
+        last = int.from_bytes(ids[-4:], "little")
+        if mark in self.ids and self.model.kinds[last] == 1 and self.follows(self.model.pieces[last], mark):
+            return ids + self.ids[mark].to_bytes(4, "little")
+        return self._found(unit)
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [_UNIT.findall(self.normalised(t)) for t in batch]
         units = set(chain.from_iterable(split))
         if len(self.young) + len(units) > UNITS:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
+        young, old, bpe = self.young, self.old, self.model.type == BPE
         for u in units:
             if u not in young:
                 found = old.get(u)
                 if found is None:
-                    ids = self.shortest(u)
-                    found = struct.pack(f"<{len(ids)}I", *ids)
+                    found = self._extended(u) if bpe and u[-1] in MARKS and len(u) > 2 else self._found(u)
                 young[u] = found
         out = [b"".join(map(young.__getitem__, own)) for own in split]
         for u in units:
@@ -202,15 +240,14 @@ class Transducer:
 
 
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_LOADED: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
     """Compiled once in each process."""
-    if path not in _LOADED:
+
+    def load():
         with open(path, "rb") as f:
-            _LOADED[path] = Transducer(Model(f.read()))
-    return _LOADED[path]
+            return Transducer(Model(f.read()))
+
+    return keep(("transducer", path), load)
 
 
 RESULT = "doc_id long, n_ids long, n_byte_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"

@@ -34,6 +34,13 @@ def test_equals_the_library(spark, library):
         assert fst.decode(got) == library.decode(library.encode(text)), text[:200]
 
 
+def test_the_accepted_path_is_the_shortest():
+    fst, rng = sentencepiece_fst.transducer(PATH), random.Random(9)
+    for _ in range(300):
+        unit = "▁" * rng.randint(0, 3) + "".join(rng.choice("abcdeéstn.你") for _ in range(rng.randint(1, 14)))
+        assert fst.accepted(unit) == fst.shortest(unit), unit
+
+
 def test_query_round_trips(spark, library):
     rows = [(i, t) for i, t in enumerate([*ODD, None])] + [(3, ODD[3])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
