@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import held_out, map_batches, texts
+from sightline.llm.common import held_out, map_batches, slices, texts
 
 #: N-grams in a profile; texts of each language that are learned from, about.
 PROFILE, SAMPLE = 300, 2000
@@ -89,22 +89,21 @@ def identify(docs: DataFrame, learned: dict[str, list[int]], most: int = PROFILE
             order = np.argsort(codes)
             tables.append((codes[order], order))
 
+        def nearest(text: str) -> tuple[str, float]:
+            codes = ranked(*ngrams(text, letters), most)
+            if not len(codes) or not tables:
+                return "und", 0.0
+            own, away = np.arange(len(codes)), []
+            for sorted_codes, rank in tables:
+                at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+                away.append(int(np.where(sorted_codes[at] == codes, np.abs(rank[at] - own), most).sum()))
+            best = int(np.argmin(away))
+            return names[best], 1 - away[best] / (most * len(codes))
+
         def work(batch):
-            langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                codes = ranked(*ngrams(text, letters), most)
-                if not len(codes) or not tables:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                own, away = np.arange(len(codes)), []
-                for sorted_codes, rank in tables:
-                    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-                    away.append(int(np.where(sorted_codes[at] == codes, np.abs(rank[at] - own), most).sum()))
-                best = int(np.argmin(away))
-                langs.append(names[best])
-                scores.append(1 - away[best] / (most * len(codes)))
-            yield {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": langs, "score": scores}
+            for cut in slices(batch, "text"):
+                found = [nearest(text) for text in cut.column("text").to_pylist()]
+                yield {"doc_id": cut.column("doc_id"), "held_out": cut.column("held_out"), "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
         return work
 

@@ -15,7 +15,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from sightline.llm.common import map_batches, texts
+from sightline.llm.common import map_batches, slices, texts
 
 CHUNK, LEVEL = 4096, 3
 #: (bytes below, least ratio, most ratio) of whole texts.
@@ -81,8 +81,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
 
         def work(batch):
-            rows = [judge(t, compress) for t in batch.column("text").to_pylist()]
-            yield {"doc_id": batch.column("doc_id")} | {k: [r[i] for r in rows] for i, k in enumerate(names)}
+            for cut in slices(batch, "text"):
+                rows = [judge(t, compress) for t in cut.column("text").to_pylist()]
+                yield {"doc_id": cut.column("doc_id")} | {k: [r[i] for r in rows] for i, k in enumerate(names)}
 
         return work
 
