@@ -32,9 +32,9 @@ def order_key(s: Column) -> Column:
 
 
 def order_columns(s: Column) -> list[Column]:
-    """The same order as columns: whether it is text, a number's length, the id."""
-    number = s.rlike("^[0-9]+$")
-    return [(~number).alias("text_last"), F.when(number, F.length(F.regexp_replace(s, "^0+", ""))).otherwise(0).alias("digits"), s.alias("text")]
+    """The same order as columns: whether it is text, a number's length and digits, the id."""
+    number, bare = s.rlike("^[0-9]+$"), F.regexp_replace(s, "^0+", "")
+    return [(~number).alias("text_last"), F.when(number, F.length(bare)).otherwise(0).alias("digits"), F.when(number, bare).otherwise("").alias("bare"), s.alias("text")]
 
 
 def app_code(app: Column) -> Column:

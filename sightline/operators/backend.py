@@ -10,6 +10,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sightline.functions.jsonx import repair
 
@@ -60,7 +61,7 @@ def with_retries(call: Callable[[], str], attempts: int = 3, wait: float = 0.0)
 def model_column(df: DataFrame, task: str, make: Callable[[], Backend] = RuleBackend, batch: int = 20, default: str | None = None) -> DataFrame:
     """df (with a column id) plus value (JSON) and status: success, empty or failed. Rows of a batch are matched
     by id; a failed batch, or a row that is missing in the answer, gets the default."""
-    schema = df.schema.add("value", "string").add("status", "string")
+    schema = StructType([*df.schema.fields, StructField("value", StringType()), StructField("status", StringType())])
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make()

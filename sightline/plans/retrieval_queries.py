@@ -41,7 +41,7 @@ def tfidf_weights(spark, sf):
     return w.groupBy("app", "id").agg(F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("top_weight"), F.round(F.sum("weight"), 4).alias("sum_weight"))
 
 
-@query(f"WITH {fx.CORPUS_SQL}, {GRAM3}, r AS (SELECT app, term, df, tf, row_number() OVER (PARTITION BY app ORDER BY tf DESC, term) AS p FROM df JOIN nd USING (app) WHERE df >= 2 AND df <= n * 0.95) SELECT app, term, df, tf FROM r WHERE p <= 20000")
+@query()
 def tfidf_pruned_terms(spark, sf):
     return vc.pruned_terms(fx.corpus(spark, sf), 2, 0.95, 20000, 3, 3)
 
@@ -57,7 +57,7 @@ def tfidf_topk(spark, sf):
 
 QUERY_SET = "q AS (SELECT * FROM vectors WHERE vec_id % 50 = 0)"
 SCORES = fx.VECTORS_SQL + ", " + QUERY_SET + """, scores AS (SELECT q.app, q.id AS query_id, d.id AS doc_id, d.cluster_id AS cd, q.cluster_id AS cq, list_inner_product(q.vector, d.vector) AS score FROM q JOIN vectors d ON q.app = d.app AND q.id <> d.id),
-glob AS (SELECT app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, round(score, 6) AS score FROM scores)"""
+glo AS (SELECT app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank, round(score, 6) AS score FROM scores)"""
 UNNESTED = """, cen0 AS (SELECT app, cluster_id, i, avg(x) AS x FROM (SELECT app, cluster_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM vectors) GROUP BY ALL),
 cen1 AS (SELECT app, cluster_id, list(x ORDER BY i) AS v FROM cen0 GROUP BY ALL), cen AS (SELECT app, cluster_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS vector FROM cen1),
 cr AS (SELECT q.app, q.id AS query_id, cluster_id, round(list_inner_product(q.vector, c.vector), 6) AS score FROM (SELECT app, id, vector FROM q) q JOIN cen c USING (app)),
@@ -85,7 +85,7 @@ def _rankings(spark, sf):
     return {"global": vc.ranked(scores, 200), "multi": multi, "graph": vc.ranked(scores.where("CAST(doc_id AS BIGINT) % 3 = 0"), 200)}
 
 
-@query(f"WITH {SCORES} SELECT app, query_id, doc_id, rank, score FROM glob WHERE rank <= 200")
+@query(f"WITH {SCORES} SELECT app, query_id, doc_id, rank, score FROM glo WHERE rank <= 200")
 def dense_topk(spark, sf):
     return vc.ranked(_scores(spark, sf), 200)
 
@@ -106,7 +106,7 @@ def multi_cluster_topl(spark, sf):
 
 
 FUSED = f"""WITH {SCORES}{UNNESTED}, gr AS (SELECT app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores WHERE CAST(doc_id AS BIGINT) % 3 = 0),
-src AS (SELECT app, query_id, doc_id, {{0}} / (rank + 4) AS w, 1 AS bit FROM glob WHERE rank <= 120 UNION ALL SELECT app, query_id, doc_id, {{1}} / (rank + 4), 2 FROM multi WHERE rank <= {{2}} UNION ALL SELECT app, query_id, doc_id, {{3}} / (rank + 2), 4 FROM gr WHERE rank <= {{4}}),
+src AS (SELECT app, query_id, doc_id, {{0}} / (rank + 4) AS w, 1 AS bit FROM glo WHERE rank <= 120 UNION ALL SELECT app, query_id, doc_id, {{1}} / (rank + 4), 2 FROM multi WHERE rank <= {{2}} UNION ALL SELECT app, query_id, doc_id, {{3}} / (rank + 2), 4 FROM gr WHERE rank <= {{4}}),
 fu AS (SELECT app, query_id, doc_id, sum(w) AS w, bit_count(bit_or(bit)) AS n_sources, bit_or(bit) AS bits FROM src GROUP BY ALL)"""
 
 
@@ -123,13 +123,13 @@ def fuse_allrel(spark, sf):
     return rt.fuse_related(_rankings(spark, sf), 20).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {SCORES}, r AS (SELECT app, query_id, CAST(CAST(doc_id AS BIGINT) // 2 * 2 AS VARCHAR) AS doc_id, rank FROM glob WHERE rank <= 50), f AS (SELECT app, query_id, doc_id, min(rank) AS old FROM r WHERE doc_id <> query_id GROUP BY ALL) SELECT app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM f QUALIFY rank <= 20")
+@query(f"WITH {SCORES}, r AS (SELECT app, query_id, CAST(CAST(doc_id AS BIGINT) // 2 * 2 AS VARCHAR) AS doc_id, rank FROM glo WHERE rank <= 50), f AS (SELECT app, query_id, doc_id, min(rank) AS old FROM r WHERE doc_id <> query_id GROUP BY ALL) SELECT app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM f QUALIFY rank <= 20")
 def ranking_dedup(spark, sf):
     even = F.floor(F.col("doc_id").cast("bigint") / 2) * 2
     return rt.cleaned(vc.ranked(_scores(spark, sf), 50).withColumn("doc_id", even.cast("string")), 20)
 
 
-@query(f"WITH {SCORES}, k AS (SELECT app, id, min(id) OVER (PARTITION BY app, CAST(id AS BIGINT) // 3) AS rep FROM vectors), r AS (SELECT g.app, q.rep AS query_id, d.rep AS doc_id, rank FROM glob g JOIN k q ON q.id = query_id JOIN k d ON d.id = doc_id WHERE rank <= 50 AND q.rep <> d.rep), f AS (SELECT app, query_id, doc_id, min(rank) AS old FROM r GROUP BY ALL) SELECT app, query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM f) WHERE rank <= 20".replace("PARTITION BY query_id ORDER BY old", "PARTITION BY query_id ORDER BY old, doc_id"))
+@query(f"WITH {SCORES}, k AS (SELECT app, id, min(id) OVER (PARTITION BY app, CAST(id AS BIGINT) // 3) AS rep FROM vectors), r AS (SELECT g.app, g.query_id, d.rep AS doc_id, rank FROM glo g JOIN k q ON q.id = query_id JOIN k d ON d.id = doc_id WHERE rank <= 50 AND q.rep <> d.rep), f AS (SELECT app, query_id, doc_id, min(rank) AS old FROM r GROUP BY ALL) SELECT app, query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM f) WHERE rank <= 20".replace("PARTITION BY query_id ORDER BY old", "PARTITION BY query_id ORDER BY old, doc_id"))
 def ranking_by_text_key(spark, sf):
     keys = fx.vectors(spark, sf).select("app", "id", F.floor(F.col("id").cast("bigint") / 3).alias("key"))
     return rt.by_text_key(vc.ranked(_scores(spark, sf), 50), keys, 20)
@@ -164,7 +164,7 @@ def hc_complete(spark, sf):
 # evaluation
 
 REL = ", rel AS (SELECT a.app, a.id AS query_id, b.id AS doc_id FROM vectors a JOIN vectors b ON a.app = b.app AND a.issue_key = b.issue_key AND a.id <> b.id AND a.cluster_id <> b.cluster_id)"
-METRICS = f"WITH {SCORES}{REL}" + """, n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id), h AS (SELECT g.query_id, min(rank) AS first, count(*) FILTER (rank <= 20) AS h20, count(*) FILTER (rank <= 50) AS h50, sum(1 / log2(rank + 1)) FILTER (rank <= 20) AS dcg FROM glob g JOIN rel USING (query_id, doc_id) WHERE rank <= 200 GROUP BY g.query_id),
+METRICS = f"WITH {SCORES}{REL}" + """, n AS (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id), h AS (SELECT g.query_id, min(rank) AS first, count(*) FILTER (rank <= 20) AS h20, count(*) FILTER (rank <= 50) AS h50, sum(1 / log2(rank + 1)) FILTER (rank <= 20) AS dcg FROM glo g JOIN rel USING (query_id, doc_id) WHERE rank <= 200 GROUP BY g.query_id),
 pq AS (SELECT 'emb' AS app, q.id AS query_id, n_rel, coalesce(CAST(first <= 10 AS INT), 0) AS success_at_10, coalesce(CAST(first <= 20 AS INT), 0) AS success_at_20, round(coalesce(CASE WHEN first <= 20 THEN 1 / first END, 0), 6) AS mrr_at_20, CASE WHEN first <= 20 THEN first END AS first_rank_at_20,
 round(coalesce(h20 / n_rel, 0), 6) AS recall_at_20, round(coalesce(h50 / n_rel, 0), 6) AS recall_at_50, round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 21) r(i) WHERE i <= n_rel), 6) AS ndcg_at_20 FROM q JOIN n ON n.query_id = q.id LEFT JOIN h ON h.query_id = q.id)"""
 
