@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import chain
 
 import pyarrow as pa
@@ -29,10 +30,29 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sightline-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _TABLES.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TABLES: list[str] = []
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator with its result written as a table of its own, and the tables behind it removed."""
+
+    @wraps(operator)
+    def run(*args, **named) -> DataFrame:
+        before = len(_TABLES)
+        out = durable(operator(*args, **named), operator.__name__)
+        for path in _TABLES[before:-1]:
+            _remove(out.sparkSession, path)
+        _TABLES[before:-1] = []
+        return out
+
+    return run
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()

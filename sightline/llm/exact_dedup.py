@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import ascii_lower, durable, map_batches, slices, texts
+from sightline.llm.common import ascii_lower, durable, map_batches, scoped, slices, texts
 
 WINDOW, LEAST, MOST = 16, 512, 16384
 MASK = np.uint32(0x7FF)  # a cut every 2 KB on average
@@ -142,6 +142,7 @@ def placed(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     return map_batches(texts(docs), "sha string, place int, key binary, chunk binary", make)
 
 
+@scoped
 def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 

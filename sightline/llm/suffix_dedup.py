@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import durable, map_batches, slices, texts
+from sightline.llm.common import durable, map_batches, scoped, slices, texts
 from sightline.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 100
@@ -361,6 +361,7 @@ def _removed(rows: DataFrame) -> DataFrame:
     return map_batches(rows, "cls long, n_removed long, n_spans long, kept_sha256 string", make)
 
 
+@scoped
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     gram = gram or length // 2
