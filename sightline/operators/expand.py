@@ -15,9 +15,10 @@ def _first_reports(node_report: DataFrame, r_max: int) -> DataFrame:
 
 
 def _truncated(reports: DataFrame, r_max: int) -> tuple[DataFrame, DataFrame]:
-    """The first r_max reports of each seed by depth and id, and the seeds that had more."""
+    """The first r_max reports of each seed by depth and id, and the seeds that had more. Both, and the next hop,
+    come from these few rows, so they are persisted."""
     place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", *order_columns(F.col("report_id"))))
-    numbered = reports.withColumn("place", place)
+    numbered = reports.withColumn("place", place).where(F.col("place") <= r_max + 1).persist()
     return numbered.where(F.col("place") <= r_max).drop("place"), numbered.where(F.col("place") == r_max + 1).select("seed")
 
 
@@ -25,8 +26,8 @@ def expand(seeds: DataFrame, node_report: DataFrame, hops: int = 1, r_max: int =
     """(reports: seed, report_id, depth), (nodes: seed, node_id), (status: seed, hop, stopped_reason).
 
     Strict: a seed that reaches more than r_max reports keeps the nearest, ties by id, and stops there.
-    The hops are unrolled into one plan; a stopped seed leaves it. The reports are persisted, as nodes and
-    status come from them too; what an executor loses of them is computed again.
+    The hops are unrolled into one plan; a stopped seed leaves it. What is persisted of a
+    hop is computed again if an executor with it is lost.
     """
     first = seeds.join(node_report.withColumnRenamed("node_id", "seed"), "seed").select("seed", "report_id", F.lit(0).alias("depth"))
     reports, over = _truncated(first, r_max)
@@ -54,7 +55,7 @@ def expand(seeds: DataFrame, node_report: DataFrame, hops: int = 1, r_max: int =
         halted = halted.unionByName(kept.join(stop, "seed", "left_semi"))
         live = kept.join(stop, "seed", "left_anti")
         done = hop
-    reports = halted.unionByName(live).persist()
+    reports = halted.unionByName(live)
     status = status.unionByName(live.select("seed").distinct().select("seed", F.lit("k-reached").alias("stopped_reason"), F.lit(done or 0).alias("hop")))
     nodes = reports.join(node_report, "report_id").select("seed", "node_id").unionByName(seeds.select("seed", F.col("seed").alias("node_id"))).distinct()
     return reports, nodes, status
