@@ -30,10 +30,17 @@ BASE = {
 }
 #: High-recall generators and the kind that their spans get.
 GENERATORS = {
-    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"']?[^\x20\x09-\x0D\"']{4,128}+",
-    "key": r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]{0,127}[0-9])[A-Za-z0-9+/_-]{16,128}+(?![A-Za-z0-9@])",
+    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"']?[^\x20\x09-\x0D\"']{4,}+",
+    "key": r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9@])",
     "number": r"(?<![A-Za-z0-9.+-])(?:[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{10,30}[0-9]|\(?[0-9][0-9\x20().-]{7,28}[0-9])(?![A-Za-z0-9])",
-    "masked": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]{1,63}){1,8}",
+    "masked": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]++)++",
+}
+_PLAIN = r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![A-Za-z0-9])"
+_GROUP = rf"(?:\x20(?![A-Z]{{2}}[0-9]{{2}}|{_PLAIN}))?"
+#: Further candidates of a generator, which may overlap its own: numbers of a known shape. A greedy run over several
+#: numbers is one candidate of "number", of no shape at all.
+INSIDE = {
+    "number": rf"(?<![A-Za-z0-9.+-])(?:{_PLAIN}|[A-Z]{{2}}[0-9]{{2}}(?:{_GROUP}[A-Z0-9]{{4}}){{3,7}}(?:{_GROUP}[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]|-[0-9]))",
 }
 BLOCK, AROUND = 256, 24
 
@@ -107,7 +114,12 @@ def _valid(kind: str, x: Column) -> Column:
 
 def _kept(kind: str) -> Column:
     test = _valid if kind in BASE else pii_model.accepts
-    return F.filter(f"a_{kind}", lambda x: test(kind, x))
+    kept = [F.filter(a, lambda x: test(kind, x)) for a in (f"a_{kind}", *([f"a_{kind}_inside"] if kind in INSIDE else []))]
+    if len(kept) == 1:
+        return kept[0]
+    # as whole numbers, of which distinct ones are found by hash
+    places = F.array_sort(F.array_distinct(F.transform(F.concat(*kept), lambda x: F.shiftleft(x["s"].cast("long"), 32) + x["e"])))
+    return F.transform(places, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("s"), (x % (1 << 32)).cast("int").alias("e")))
 
 
 def _tagged(kind: str) -> Column:
@@ -120,10 +132,10 @@ def _marks(kind: str, column: str) -> Column:
 
 def find(rows: DataFrame) -> DataFrame:
     """rows (with a non-null column text) and, for each kind, its spans as column k_<kind>."""
-    patterns, own = BASE | GENERATORS, rows.columns
+    patterns, own = BASE | GENERATORS | {f"{k}_inside": rx for k, rx in INSIDE.items()}, rows.columns
     rows = rows.select(*own, *(c.alias(f"{p}_{k}") for k, rx in patterns.items() for p, c in zip("hg", _found("text", rx))))
     rows = rows.select(*own, *(spans(f"h_{k}", f"g_{k}").alias(f"a_{k}") for k in patterns))
-    return rows.select(*own, *(_kept(k).alias(f"k_{k}") for k in patterns))
+    return rows.select(*own, *(_kept(k).alias(f"k_{k}") for k in BASE | GENERATORS))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

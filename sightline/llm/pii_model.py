@@ -21,14 +21,14 @@ PRECISION = 0.99
 #: Features by pattern: found in the span (hit) or in the text before it, lower-cased.
 SHAPES = {
     "assigned": r"^[A-Za-z_-]+ ?[=:]",
-    "hex": r"(?:^|[=:\"' ])[0-9a-f]{12,128}$",
+    "hex": r"(?:^|[=:\"' ])[0-9a-f]{12,}$",
     "upper_key": r"^[A-Z]{4}[A-Z0-9]{12,28}$",
     "triple_phone": r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$",
     "social": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$",
     "iban": r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?$",
     "date": r"(?:^|[^0-9])(?:1[0-9]{3}|20[0-9]{2})[-. ](?:0?[1-9]|1[0-2])[-. ](?:[0-2]?[0-9]|3[01])(?:[^0-9]|$)",
     "plain": r"^[0-9]+(?:[. ][0-9]{3})*$",
-    "slug": r"[a-z]{3,}[-_/][a-z]{2,}",
+    "slug": r"[a-z]{3}[-_/][a-z]{2}",
 }
 BEFORE = {
     "says_secret": r"(?:password|passwd|pwd|token|secret|key|credential|bearer)[^a-z]*$",
