@@ -3,7 +3,8 @@
 A document's tokens (its ids, then END) are cut into full pieces of LIMIT and a rest. Pieces are dealt at
 random (by hash) to groups of about GROUP documents; in each group, first-fit decreasing puts a piece into
 the first sequence with room, found by a tournament tree of the sequences' free capacities in O(log n).
-Sequences are padded to LIMIT, except those whose length is a power of two.
+Sequences are padded to LIMIT, except those whose length is a power of two. The ids of pieces are written once,
+apart from what is packed, and join their places only where they are asked for.
 
 Word ids: the tokenizer drops white space and never merges across it, so ids are encoded once for each
 distinct word between ASCII spaces and kept in a bounded cache.
@@ -15,7 +16,6 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
-import zlib
 from itertools import chain
 from struct import pack as pack_ids
 
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from sightline.llm.common import durable, keep, map_batches, slices, texts
 
 LIMIT, END, GROUP, CACHE = 4096, 2, 2048, 350_000
-PIECES = "uid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "uid long, doc_id long, start long, length long, ids binary, doc_tokens long"
+PLACES = "uid long, start long, sequence_id long, offset long"
+#: The digests of the packed pieces.
+PACKED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 class Encoder:
@@ -91,6 +93,8 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
+    """uid (of a row), doc_id, start, length, ids (little-endian, 32 bits each), doc_tokens."""
+
     def make():
         encode, last = keep(("encoder", tokenizer), lambda: Encoder(tokenizer)), pack_ids("<I", end)
 
@@ -102,8 +106,8 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END)
                     ids += last
                     for start in range(0, len(ids), 4 * limit):
                         part = ids[start : start + 4 * limit]
-                        rows.append((uid, doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4))
-            yield {k: [r[i] for r in rows] for i, k in enumerate(("uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"))}
+                        rows.append((uid, doc_id, start // 4, len(part) // 4, part, len(ids) // 4))
+            yield {k: [r[i] for r in rows] for i, k in enumerate(("uid", "doc_id", "start", "length", "ids", "doc_tokens"))}
 
         return work
 
@@ -132,21 +136,44 @@ def first_fit_decreasing(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, n
 
 
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, group: int = GROUP) -> DataFrame:
-    rows = durable(pieces(docs, tokenizer, limit, end), "pieces")
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids of each piece."""
+    rows = durable(pieces(docs, tokenizer, limit, end).withColumn("ids_crc32", F.crc32("ids")), "pieces")
     groups = max(1, rows.count() // group)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["uid", "start"], ignore_index=True)
         at, offset = first_fit_decreasing(pdf["length"].to_numpy(), limit)
         pdf["sequence_id"], pdf["offset"] = pdf["group"].to_numpy() * (1 << 24) + at, offset
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return pdf[["uid", "start", "sequence_id", "offset"]]
+
+    dealt = rows.select("uid", "start", "length", F.pmod(F.xxhash64("uid", "start"), F.lit(groups)).alias("group"))
+    return rows.join(dealt.groupBy("group").applyInPandas(fit, PLACES), ["uid", "start"]).select(*PACKED, "ids")
+
+
+def sequences(packed: DataFrame, limit: int = LIMIT, pad: int = END) -> DataFrame:
+    """sequence_id, length (without padding), ids of each sequence of pack(), padded."""
+
+    def make():
+        fill = pack_ids("<I", pad)
+
+        def work(batch):
+            for begin in range(0, batch.num_rows, 64):
+                cut, out = batch.slice(begin, 64), {"length": [], "ids": []}
+                for parts in cut.column("parts").to_pylist():
+                    ids = b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["offset"]))
+                    n = len(ids) // 4
+                    out["length"].append(n)
+                    out["ids"].append(ids if n & (n - 1) == 0 else ids + fill * (limit - n))
+                yield {"sequence_id": cut.column("sequence_id")} | out
+
+        return work
 
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("uid", "start"), F.lit(groups)))
-    return dealt.groupBy("group").applyInPandas(fit, PACKED)
+    parts = packed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids")).alias("parts"))
+    return map_batches(parts, "sequence_id long, length long, ids binary", make)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of the sequences."""
+    """Pipeline stage: the pieces of the sequences, with their ids."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

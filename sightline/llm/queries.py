@@ -35,7 +35,7 @@ def op6_url_filters(spark, sf_dir):
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select(*packing.PACKED)
 
 
 def op8_pii(spark, sf_dir):

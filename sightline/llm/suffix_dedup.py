@@ -336,34 +336,46 @@ def sharded(rows: DataFrame, length: int, size: int) -> DataFrame:
     return map_batches(placed, "fp long, ctx long, start long, end long", make)
 
 
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def _merged(cover: list[dict], size: int) -> list[tuple[int, int]]:
+    """The bytes of cover as spans that neither overlap nor touch."""
+    out = []
+    for a, b in sorted((c["start"], min(c["end"], size)) for c in cover):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(b for _, b in spans)]
+    return b"".join(raw[begin:a] for begin, a in zip(ends, [*(a for a, _ in spans), len(raw)]))
+
+
 def _removed(rows: DataFrame) -> DataFrame:
-    """cls, n_removed, n_spans, kept_sha256 from cls, text, cover (array of start, end)."""
+    """cls, spans, kept_sha256 from cls, text, cover (array of start, end)."""
 
     def make():
         def work(batch):
-            out = {k: [] for k in ("n_removed", "n_spans", "kept_sha256")}
+            out = {"spans": [], "kept_sha256": []}
             for text, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist()):
-                raw, kept, last, spans, removed = text.encode(), [], 0, 0, 0
-                for a, b in sorted((c["start"], min(c["end"], len(raw))) for c in cover):
-                    if not spans or a > last:
-                        kept.append(raw[last:a])
-                        spans += 1
-                    removed += max(0, b - max(a, last))
-                    last = max(last, b)
-                kept.append(raw[last:])
-                out["n_removed"].append(removed)
-                out["n_spans"].append(spans)
-                out["kept_sha256"].append(hashlib.sha256(b"".join(kept)).hexdigest())
+                raw = text.encode()
+                spans = _merged(cover, len(raw))
+                out["spans"].append([{"start": a, "end": b} for a, b in spans])
+                out["kept_sha256"].append(hashlib.sha256(_kept(raw, spans)).hexdigest())
             yield {"cls": batch.column("cls")} | out
 
         return work
 
-    return map_batches(rows, "cls long, n_removed long, n_spans long, kept_sha256 string", make)
+    return map_batches(rows, f"cls long, spans {SPANS}, kept_sha256 string", make)
 
 
 @scoped
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
+    """doc_id, cls (hash of the text), n_bytes, spans (array of start, end: the bytes to remove), kept_sha256."""
     gram = gram or length // 2
     whole = durable(whole_texts(docs), "texts")
     copies = whole.groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.max("n_bytes").alias("n_bytes"))
@@ -412,8 +424,37 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None)
     gone = durable(copies.where("n > 1").select("cls", F.lit(True).alias("gone")), "gone")
     out = whole.join(gone, "cls", "left").join(cleaned, "cls", "left")
     nothing = hashlib.sha256(b"").hexdigest()
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     return out.select(
-        "doc_id", "n_bytes", F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        "doc_id", "cls", "n_bytes", F.when(F.col("gone"), everything).otherwise(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"),
         F.when(F.col("gone"), nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return removed_spans(docs, length, gram).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def cleaned_texts(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
+    """doc_id, kept: the bytes of each row's text that stay (binary, as a cut may part a character's bytes)."""
+    found = removed_spans(docs, length, gram).where(F.size("spans") > 0).select("cls", "spans").dropDuplicates(["cls"])
+
+    def classed():
+        def work(batch):
+            for cut in slices(batch, "text"):
+                yield {"doc_id": cut.column("doc_id"), "cls": [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in cut.column("text").to_pylist()], "text": cut.column("text")}
+
+        return work
+
+    def cut_out():
+        def work(batch):
+            for cut in slices(batch, "text"):
+                rows = zip(cut.column("text").to_pylist(), cut.column("spans").to_pylist())
+                yield {"doc_id": cut.column("doc_id"), "kept": [_kept(t.encode(), [(x["start"], x["end"]) for x in spans or ()]) for t, spans in rows]}
+
+        return work
+
+    own = map_batches(texts(docs), "doc_id long, cls long, text string", classed).join(found, "cls", "left")
+    return map_batches(own, "doc_id long, kept binary", cut_out)

@@ -38,6 +38,23 @@ def test_packing_keeps_every_id(spark):
         assert at <= 4096
 
 
+def test_sequences_hold_the_ids_of_all_documents(spark):
+    rows = [(i, f"Text {i}, word " * (i * 7)) for i in range(40)] + [(99, "long one. " * 6000), (100, None), (99, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(PATH)
+    want = Counter(np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for _, text in rows)
+    packed = packing.pack(docs, PATH, group=16).persist()
+    whole, pieces = {r["sequence_id"]: r for r in packing.sequences(packed).collect()}, defaultdict(list)
+    for r in packed.collect():
+        sequence = whole[r["sequence_id"]]["ids"]
+        assert sequence[4 * r["offset"] : 4 * (r["offset"] + r["length"])] == r["ids"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        pieces[r["doc_id"], r["doc_tokens"]].append((r["start"], bytes(r["ids"])))
+    assert Counter(b"".join(p for _, p in sorted(parts)) for parts in pieces.values()) == want
+    for r in whole.values():
+        n = r["length"]
+        assert len(r["ids"]) == 4 * (n if n & (n - 1) == 0 else 4096) and set(r["ids"][4 * n :]) <= {0, 2}
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 101, 300)

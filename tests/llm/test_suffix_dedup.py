@@ -60,6 +60,18 @@ def test_passages_hot_anchors_and_small_shards(spark, monkeypatch):
     assert cleaned(spark, rows, 40) == want
 
 
+def test_kept_texts_are_what_the_digests_say(spark):
+    rows = made(3, 60) + [(901, "x" * 500), (902, None), (903, ""), (905, "short"), (5, "q" * 39), (905, "q" * 40), (906, "q" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter({(k[0], k[4]): 0 for k in brute(rows, 40)})
+    for k, n in brute(rows, 40).items():
+        want[k[0], k[4]] += n
+    got = suffix_dedup.cleaned_texts(docs, 40).collect()
+    assert Counter((r["doc_id"], hashlib.sha256(r["kept"]).hexdigest()) for r in got) == want
+    spans = suffix_dedup.removed_spans(docs, 40).collect()
+    assert sum(len(r["spans"]) for r in spans) == sum(k[3] * n for k, n in brute(rows, 40).items())
+
+
 def test_shards_merge_by_binary_search():
     rng = random.Random(5)
     passage = bytes(rng.choice(b"abcd") for _ in range(90))
