@@ -139,9 +139,35 @@ def curve_budget_end(spark, sf):
     return cv.budget_end(_cost_curve(spark, sf), 300.0)
 
 
+def _sized_cost_curve(spark, sf):
+    """The cost curve over the universe of the tables read; the SQL of the other curves holds that of sf0.01."""
+    universe = fx.node_types(spark, sf).where("type IN ('PHEN', 'DIAG', 'ISSUE')").count()
+    return cv.cost_curve(_picked(spark, sf), 300.0, F.lit(max(universe, 1)))
+
+
 @query()
 def curve_interpolated(spark, sf):
-    return cv.on_grid(_cost_curve(spark, sf), 11)
+    return cv.on_grid(_sized_cost_curve(spark, sf), 11)
+
+
+@query()
+def curve_cost_sized(spark, sf):
+    return _sized_cost_curve(spark, sf)
+
+
+@query()
+def curve_cost_auc_sized(spark, sf):
+    return cv.cost_auc(_sized_cost_curve(spark, sf))
+
+
+@query()
+def curve_plateau_sized(spark, sf):
+    return cv.plateau(_sized_cost_curve(spark, sf))
+
+
+@query()
+def curve_long_sized(spark, sf):
+    return cv.long_form(_sized_cost_curve(spark, sf).select("problem", "step", "rho", "coverage"), ["problem", "step"], ["rho", "coverage"])
 
 
 @query(COSTCURVE + " SELECT 'all' AS problem, rho, max(coverage) AS coverage FROM cc GROUP BY rho")
@@ -164,9 +190,14 @@ def portfolio(spark, sf):
 RUNS = "runs AS (SELECT l_linenumber AS k, l_suppkey % 5 AS run, count(DISTINCT l_partkey) / 2000 AS coverage FROM lineitem GROUP BY ALL)"
 
 
-def _runs(spark, sf):
+def _runs(spark, sf, parts=2000):
     li = fx.table(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 5).alias("run")).agg((F.countDistinct("l_partkey") / 2000).alias("coverage"))
+    return li.groupBy(F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 5).alias("run")).agg((F.countDistinct("l_partkey") / parts).alias("coverage"))
+
+
+def _sized_runs(spark, sf):
+    """The runs over the parts of the tables read; the SQL holds the parts of sf0.01."""
+    return _runs(spark, sf, max(fx.table(spark, sf, "part").count(), 1))
 
 
 @query(f"WITH {RUNS}, b AS (SELECT k, round(avg(coverage), 6) AS mean, round(stddev_pop(coverage), 6) AS std FROM runs GROUP BY k) SELECT *, max(mean) OVER (ORDER BY k) AS envelope FROM b")
@@ -178,10 +209,24 @@ def run_bands(spark, sf):
 q AS (SELECT method, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, count(*) AS n_apps FROM m GROUP BY method)
 SELECT *, round((median - (SELECT median FROM q WHERE method = 'm0')) * 100, 4) AS delta_pp FROM q""")
 def across_apps(spark, sf):
-    rows = _runs(spark, sf).groupBy(F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("method"), F.col("run").alias("app")).agg(F.avg("coverage").alias("v"))
+    return _across(_runs(spark, sf))
+
+
+def _across(runs):
+    rows = runs.groupBy(F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("method"), F.col("run").alias("app")).agg(F.avg("coverage").alias("v"))
     return cv.across(rows, "method", "v", "m0")
 
 
+@query()
+def run_bands_sized(spark, sf):
+    return cv.run_bands(_sized_runs(spark, sf))
+
+
+@query()
+def across_apps_sized(spark, sf):
+    return _across(_sized_runs(spark, sf))
+
+
 @query()
 def merge_signature(spark, sf):
     return se.merged(_views(spark, sf), threshold=0.2)
@@ -244,8 +289,13 @@ def graph_metrics(spark, sf):
 
 @query()
 def random_contract(spark, sf):
-    sizes = {"ELEM": mt.partition_sizes([5] * 500, 450), "ISSUE": mt.partition_sizes([4] * 500, 600)}
-    return mt.random_contraction(fx.node_types(spark, sf), sizes, 1).groupBy("type", "group").agg(F.count("*").alias("n"))
+    nodes = fx.node_types(spark, sf)
+    counts, sizes = {r["type"]: r["count"] for r in nodes.groupBy("type").count().collect()}, {}
+    for kind, width, share in (("ELEM", 5, 0.9), ("ISSUE", 4, 1.2)):
+        whole, rest = divmod(counts.get(kind, 0), width)
+        own = [width] * whole + [rest] * (rest > 0)
+        sizes[kind] = mt.partition_sizes(own, round(share * len(own)))
+    return mt.random_contraction(nodes, sizes, 1).groupBy("type", "group").agg(F.count("*").alias("n"))
 
 
 # unification

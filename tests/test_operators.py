@@ -128,3 +128,23 @@ def test_stream_adds_each_row_once(spark, tmp_path):
         one.write.mode("append").parquet(src)
         incremental.keep_bridge(spark.readStream.schema(one.schema).parquet(src), out, str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(out).count() == 2
+
+
+def test_sizes_come_from_the_tables(spark):
+    from sightline.plans import analytics_queries as aq
+    from sightline.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    counts = {r["type"]: r["count"] for r in fx.node_types(spark, sf).groupBy("type").count().collect()}
+    universe, parts = sum(counts[t] for t in ("PHEN", "DIAG", "ISSUE")), fx.table(spark, sf, "part").count()
+    assert universe != 2950 and parts != 2000
+    groups = aq.random_contract(spark, sf).collect()
+    for t, n in counts.items():
+        assert sum(r["n"] for r in groups if r["type"] == t) == n
+    gain = sum(r["gain"] for r in aq.cover_greedy(spark, sf).collect())
+    for curve in (aq.curve_interpolated(spark, sf), aq.curve_cost_sized(spark, sf), aq.curve_plateau_sized(spark, sf)):
+        assert abs(max(r["coverage"] for r in curve.collect()) - gain / universe) < 1e-5
+    for old, new in ((aq.run_bands, aq.run_bands_sized), (aq.across_apps, aq.across_apps_sized)):
+        column = "mean" if old is aq.run_bands else "median"
+        got, was = (max(r[column] for r in f(spark, sf).collect()) for f in (new, old))
+        assert abs(got - was * 2000 / parts) < 1e-4
