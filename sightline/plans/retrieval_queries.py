@@ -151,14 +151,12 @@ def graph_refine(spark, sf):
 
 @query()
 def hc_average(spark, sf):
-    own = fx.vectors(spark, sf)
-    return vc.hierarchical(own.where("CAST(id AS BIGINT) % 50 = 0"), k=20)
+    return vc.hierarchical(fx.vectors(spark, sf), k=20)
 
 
 @query()
 def hc_complete(spark, sf):
-    own = fx.vectors(spark, sf)
-    return vc.hierarchical(own.where("CAST(id AS BIGINT) % 50 = 0"), threshold=0.85, linkage="complete")
+    return vc.hierarchical(fx.vectors(spark, sf), threshold=0.85, linkage="complete")
 
 
 # evaluation

@@ -148,3 +148,15 @@ def test_sizes_come_from_the_tables(spark):
         column = "mean" if old is aq.run_bands else "median"
         got, was = (max(r[column] for r in f(spark, sf).collect()) for f in (new, old))
         assert abs(got - was * 2000 / parts) < 1e-4
+
+
+def test_every_vector_is_clustered(spark):
+    from sightline.plans import fixtures as fx
+    from sightline.plans import retrieval_queries as rq
+
+    sf = "/root/testdata/sf0.001"
+    ids = sorted(r["id"] for r in fx.vectors(spark, sf).collect())
+    for f in (rq.hc_average, rq.hc_complete):
+        rows = f(spark, sf).collect()
+        assert sorted(r["id"] for r in rows) == ids
+    assert len({r["cluster_id"] for r in rq.hc_average(spark, sf).collect()}) == 20
