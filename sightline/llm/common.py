@@ -132,7 +132,22 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[p
     yield batch.slice(begin)
 
 
-def keep_rows(docs: DataFrame, dropped: DataFrame, sent: int = 500_000) -> DataFrame:
-    """docs without the rows whose id is in dropped; ids are broadcast up to sent, else both are shuffled."""
-    ids = durable(dropped.distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= sent else ids, "doc_id", "left_anti").select(*docs.columns)
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of the row's text; with doc_id it names the row, or rows that repeat it."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def keep_decided(docs: DataFrame, decided: DataFrame, sent: int = 500_000) -> DataFrame:
+    """The rows of docs that stay, with their columns. decided has doc_id, mark (row_mark) and kept for each row;
+    of rows that repeat both id and text one stays. Keys are broadcast up to sent, else both sides are shuffled."""
+    name = f"decided_{uuid.uuid4().hex}"  # no column of docs has it
+    keys = decided.groupBy("doc_id", "mark").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
+    keys = durable(keys.select(F.struct("doc_id", "mark", "stays").alias(name)), "keys")
+    key = keys[name]
+    same = docs["doc_id"].cast("long").eqNullSafe(key["doc_id"]) & (row_mark(docs) == key["mark"])
+    told = docs.join(F.broadcast(keys) if keys.count() <= sent else keys, same, "left")
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    out = told.where(key.isNull()).select(*own)
+    if keys.where(key["stays"]).isEmpty():
+        return out
+    return out.unionAll(told.where(key["stays"]).dropDuplicates([name]).select(*own))

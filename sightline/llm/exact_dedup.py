@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import ascii_lower, durable, map_batches, scoped, slices, texts
+from sightline.llm.common import durable, keep_decided, map_batches, row_mark, scoped, slices, texts
 
 WINDOW, LEAST, MOST = 16, 512, 16384
 MASK = np.uint32(0x7FF)  # a cut every 2 KB on average
@@ -80,7 +80,7 @@ def xxh128(chunk: bytes) -> bytes:
 
 
 def recipes(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> DataFrame:
-    """uid, doc_id, text_sha256, recipe: for each chunk its digest and its length, concatenated."""
+    """uid, doc_id, mark, text_sha256, recipe: for each chunk its digest and its length, concatenated."""
 
     def make():
         def work(batch):
@@ -94,12 +94,12 @@ def recipes(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> DataF
                         keys.append(digest(raw[last:e]) + (e - last).to_bytes(4, "little"))
                         last = e
                     recipe.append(b"".join(keys))
-                yield {"uid": part.column("uid"), "doc_id": part.column("doc_id"), "text_sha256": sha, "recipe": recipe}
+                yield {"uid": part.column("uid"), "doc_id": part.column("doc_id"), "mark": part.column("mark"), "text_sha256": sha, "recipe": recipe}
 
         return work
 
-    rows = texts(docs, F.monotonically_increasing_id().alias("uid"))
-    return map_batches(rows, "uid long, doc_id long, text_sha256 string, recipe binary", make)
+    rows = texts(docs, F.monotonically_increasing_id().alias("uid"), row_mark(docs).alias("mark"))
+    return map_batches(rows, "uid long, doc_id long, mark long, text_sha256 string, recipe binary", make)
 
 
 def chunks(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> DataFrame:
@@ -142,9 +142,8 @@ def placed(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     return map_batches(texts(docs), "sha string, place int, key binary, chunk binary", make)
 
 
-@scoped
-def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
+def decided(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> DataFrame:
+    """doc_id, mark, keep_id, group_size, kept, text_sha256 for every row of docs.
 
     A group of copies may hold a third of all rows: groups are first counted under SALTS salts and the
     result returns to the rows under the same salts, so that no task meets more than its share.
@@ -169,23 +168,23 @@ def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> D
     groups = salted.groupBy("recipe").agg(F.max("last").alias("last"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
     back = groups.select("recipe", F.explode("salts").alias("salt"), F.col("last.doc_id").alias("keep_id"), F.col("last.uid").alias("keep_uid"), "group_size")
     return rows.join(back, ["recipe", "salt"]).select(
-        "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256"
+        "doc_id", "mark", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("uid") == F.col("keep_uid")).alias("kept"), "text_sha256"
     )
 
 
+@scoped
+def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = xxh128) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs."""
+    return decided(docs, digest).drop("mark")
+
+
+@scoped
+def decisions(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, kept for every row of docs."""
+    return decided(docs).select("doc_id", "mark", "kept")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows that stay, with the columns of docs. Of rows that repeat both id and text
-    one stays."""
-    from sightline.llm.common import keep_rows
-
-    found = durable(exact_dedup(docs), "decisions")
-    ids = found.groupBy("doc_id").agg(F.max("kept").alias("any"), F.count("*").alias("n"))
-    docs = keep_rows(docs, ids.where("NOT any AND doc_id IS NOT NULL").select("doc_id"))
-    again = durable(ids.where("any AND n > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
-        return docs
-    own = docs.join(again, "doc_id", "left_semi").withColumn("folded_text", ascii_lower(F.coalesce("text", F.lit(""))))
-    stays = found.where("kept").join(again, "doc_id", "left_semi").select("doc_id", F.col("text_sha256").alias("kept_sha"))
-    own = own.join(stays, ["doc_id"]).where(F.sha2("folded_text", 256) == F.col("kept_sha"))
-    own = own.dropDuplicates(["doc_id", "folded_text"]).select(*docs.columns)
-    return docs.join(again, "doc_id", "left_anti").select(*own.columns).unionByName(own)
+    one stays; rows that share an id are told apart by their texts."""
+    return keep_decided(docs, decisions(docs))
