@@ -107,7 +107,15 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
         work = make()
         if _CALLS[0] == calls:  # an operator without such a thing frees what others kept
             _KEPT.clear()
-        found = (columns for batch in batches if batch.num_rows for columns in work(batch))
+
+        def each() -> Iterator[dict]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from work(batch)
+                del batch
+                pa.default_memory_pool().release_unused()
+
+        found = each()
         for columns in chain(found, (columns for last in [getattr(work, "finish", tuple)] for columns in last())):
             yield pa.RecordBatch.from_arrays([_array(columns[field.name], field.type) for field in arrow], schema=arrow)
 

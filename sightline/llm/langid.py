@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import held_out, map_batches, slices, texts
 
-#: N-grams in a profile; texts of each language that are learned from, about.
-PROFILE, SAMPLE = 300, 2000
+#: N-grams in a profile; texts of each language that are learned from, about; languages that are learned, at most, the
+#: most frequent ones first (profiles are sent to every task).
+PROFILE, SAMPLE, LANGUAGES = 300, 2000, 1000
 BLANK = 32
 
 
@@ -57,7 +58,7 @@ def profiles(docs: DataFrame, sample: int = SAMPLE, most: int = PROFILE) -> dict
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.lit(float(sample)) / F.col("n") * F.lit(1 << 20)
-    chosen = known.select("doc_id", "text", "lang").join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang")
+    chosen = known.select("doc_id", "text", "lang").join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES)), "lang")
     chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
 
     def make():

@@ -154,12 +154,13 @@ PAGE = 4096
 def redacted(rows: DataFrame) -> DataFrame:
     """rows with column text (null stays null) in which every found span is replaced by its kind in angle
     brackets; of overlapping spans the first, widened over the others, counts. The text is cut into pages first,
-    so that a long text's pieces are reached directly."""
-    own = rows.columns
-    found = find(rows.select(*own, F.col("text").alias("whole")).withColumn("text", F.coalesce("text", F.lit(""))))
+    so that a long text's pieces are reached directly. A row travels as one struct beside its text, so that none of
+    its columns can clash with those made here; n_chars, if there, follows where the text changed."""
+    own = {c: rows[f"`{c}`"] for c in rows.columns}
+    found = find(rows.select(F.struct(*(x.alias(c) for c, x in own.items())).alias("row"), F.coalesce(own["text"], F.lit("")).alias("text")))
     tagged = [_tagged(k) for k in (*BASE, *GENERATORS)]
     found = found.withColumn("all_spans", F.array_sort(F.concat(*tagged)))
-    found = found.select(*own, "whole", "all_spans", F.when(F.size("all_spans") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0))).alias("pages"))
+    found = found.select("row", "text", "all_spans", F.when(F.size("all_spans") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0))).alias("pages"))
 
     def piece(a: Column, b: Column) -> Column:
         p, q = F.floor(a / PAGE).cast("int"), F.floor(b / PAGE).cast("int")
@@ -170,24 +171,41 @@ def redacted(rows: DataFrame) -> DataFrame:
             F.concat(here.substr(a % PAGE + 1, F.lit(PAGE)), F.array_join(F.slice("pages", p + 2, q - p - 1), ""), last)
         )
 
-    reach = F.transform(  # ends of the spans before each one
-        F.col("all_spans"), lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["tag"].alias("tag"), F.get(F.col("ends"), i).alias("from"))
-    )
-    ends = F.aggregate(
-        "all_spans", F.struct(F.lit(0).alias("m"), F.array(F.lit(0)).alias("out")),
-        lambda acc, x: F.struct(F.greatest(acc["m"], x["e"]).alias("m"), F.concat(acc["out"], F.array(F.greatest(acc["m"], x["e"]))).alias("out")),
+    # each span with the furthest end before it: the furthest of each block of spans first, then within the block
+    spans_of = "array<struct<s:int,e:int,tag:string>>"
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("all_spans") - 1) / BLOCK).cast("int")), lambda i: F.slice("all_spans", i * BLOCK + 1, BLOCK))
+    furthest = lambda a: F.array_max(F.transform(a, lambda x: x["e"]))
+    laid = F.aggregate(
+        blocks, F.struct(F.lit(0).alias("m"), F.array().cast(f"array<struct<m:int,parts:{spans_of}>>").alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["m"], furthest(b)).alias("m"), F.concat(acc["out"], F.array(F.struct(acc["m"].alias("m"), b.alias("parts")))).alias("out")),
         lambda acc: acc["out"],
     )
-    found = found.withColumn("ends", ends).withColumn("reach", reach)
+    reached = "array<struct<s:int,e:int,tag:string,from:int>>"
+
+    def reaches(b: Column) -> Column:
+        return F.aggregate(
+            b["parts"], F.struct(b["m"].alias("m"), F.array().cast(reached).alias("out")),
+            lambda acc, x: F.struct(
+                F.greatest(acc["m"], x["e"]).alias("m"),
+                F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["tag"].alias("tag"), acc["m"].alias("from")))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    found = found.withColumn("reach", F.when(F.size("all_spans") > 0, F.flatten(F.transform(laid, reaches))))
     bits = F.transform("reach", lambda x: F.when(x["s"] >= x["from"], F.concat(piece(x["from"], x["s"]), x["tag"])).otherwise(""))
-    tail = piece(F.element_at("ends", -1), F.length("text"))
-    new = F.when(F.col("whole").isNull(), F.lit(None).cast("string")).when(F.size("all_spans") == 0, F.col("whole")).otherwise(F.concat(F.array_join(bits, ""), tail))
-    return found.select(*(new.alias("text") if c == "text" else F.col(c) for c in own))
+    tail = piece(furthest(F.col("all_spans")), F.length("text"))
+    clean = F.when(F.size("all_spans") == 0, F.col("row")["text"]).otherwise(F.concat(F.array_join(bits, ""), tail))
+    found = found.select("row", F.when(F.col("row")["text"].isNotNull(), clean).alias("clean"))
+    types, out = dict(rows.dtypes), []
+    for c in own:
+        was = F.col("row").getField(c)
+        if c == "n_chars":
+            was = F.when(F.col("clean").eqNullSafe(F.col("row")["text"]), was).otherwise(F.length("clean")).cast(types[c])
+        out.append((F.col("clean") if c == "text" else was).alias(c))
+    return found.select(*out)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without personal data; n_chars follows where the text changed."""
-    types = dict(docs.dtypes)
-    out = redacted(docs.withColumn("text_before", F.col("text")))
-    n = F.when(F.col("text") == F.col("text_before"), F.col("n_chars")).otherwise(F.length("text")) if "n_chars" in types else None
-    return out.select(*(n.cast(types[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    """Pipeline stage: every row, with texts without personal data; n_chars follows where the text changed."""
+    return redacted(docs)

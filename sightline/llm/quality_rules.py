@@ -1,8 +1,9 @@
 """Quality rules: word counts, then compression bands.
 
 A text passes the bands if its zstandard ratio (compressed by raw bytes) lies within the limits for its
-length, and at most a quarter of its whole chunks of CHUNK bytes lie outside the chunk limits. A low ratio
-means repetition, a high one noise; short texts have looser limits, as a frame's overhead weighs more.
+length, and at most a quarter of its chunks lie outside theirs: every chunk of CHUNK bytes and the rest behind
+them, each judged by the limits for its own length, widened by SLACK. A low ratio means repetition, a high one
+noise; short texts have looser limits, as a frame's overhead weighs more.
 
 Defined cases: null text counts as empty; texts of fewer than 50 words fail the base rules; a repeated row
 is judged as often as it is there; other columns are ignored.
@@ -20,10 +21,11 @@ from sightline.llm.common import map_batches, slices, texts
 CHUNK, LEVEL = 4096, 3
 #: (bytes below, least ratio, most ratio) of whole texts.
 BANDS = (
-    (100, 0.30, 9.0), (300, 0.42, 1.25), (600, 0.42, 0.90), (1200, 0.40, 0.80), (2500, 0.38, 0.72),
-    (5000, 0.36, 0.66), (10000, 0.34, 0.62), (float("inf"), 0.32, 0.60),
+    (100, 0.50, 9.0), (300, 0.50, 1.25), (600, 0.50, 0.85), (1200, 0.46, 0.76), (2500, 0.43, 0.66),
+    (5000, 0.40, 0.60), (10000, 0.385, 0.56), (float("inf"), 0.365, 0.53),
 )
-CHUNK_BAND = (0.34, 0.68)
+#: A chunk is a smaller sample than its text: its limits are wider by this share.
+SLACK = 0.1
 #: Share of chunks that may lie outside their band.
 ODD_CHUNKS = 0.25
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,14 +51,20 @@ def repeated_words(words: list[str]) -> int:
     return total
 
 
+def limits(n: int) -> tuple[float, float]:
+    return next((low, high) for below, low, high in BANDS if n < below)
+
+
 def bands(raw: bytes, compress) -> tuple[float, int, bool]:
-    """Ratio of the whole, chunks outside their band, verdict. Empty: ratio 0, fails."""
+    """Ratio of the whole, chunks outside their limits, verdict. Empty: ratio 0, fails."""
     if not raw:
         return 0.0, 0, False
-    ratio = len(compress(raw)) / len(raw)
-    low, high = next((low, high) for below, low, high in BANDS if len(raw) < below)
-    parts = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) >= 2 * CHUNK else []
-    odd = sum(not CHUNK_BAND[0] <= len(compress(p)) / CHUNK <= CHUNK_BAND[1] for p in parts)
+    ratio, parts, odd = len(compress(raw)) / len(raw), range(0, len(raw), CHUNK), 0
+    for i in parts if len(raw) > CHUNK else ():
+        part = raw[i : i + CHUNK]
+        low, high = limits(len(part))
+        odd += not low * (1 - SLACK) <= len(compress(part)) / len(part) <= high * (1 + SLACK)
+    low, high = limits(len(raw))
     return ratio, odd, low <= ratio <= high and odd <= ODD_CHUNKS * len(parts)
 
 

@@ -67,14 +67,52 @@ def test_base_rules_match_brute_force(spark):
         assert tuple(r)[1:6] == want and r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
-def test_bands_reject_noise_and_repetition(spark):
+def mixed(rng, bad, share, size=24_000):
+    """Prose of made words of which a share of blocks is replaced by bad()."""
+    stems = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    out, n = [], 0
+    while n < size:
+        block = bad() if rng.random() < share else " ".join(stems[min(int(rng.paretovariate(0.7)), 2999)] for _ in range(150)) + ".\n"
+        out.append(block)
+        n += len(block)
+    return "".join(out)
+
+
+def test_bands_reject_noise_and_repetition():
     import random
 
     rng = random.Random(1)
-    noise = "".join(chr(rng.randrange(33, 0x2000)) + (" " if i % 6 == 5 else "") for i in range(6000))
-    same = "\n".join(f"the same line again and again {i % 3}" for i in range(300))
     compress = __import__("zstandard").ZstdCompressor(level=3).compress
-    assert not quality_rules.bands(noise.encode(), compress)[2] and not quality_rules.bands(same.encode(), compress)[2]
+    noise = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(900)) + "\n"
+    same = lambda: "read this same line again and again, please\n" * 20
+    verdict = lambda text: quality_rules.bands(text.encode(), compress)[2]
+    for bad in (noise, same):
+        assert not any(verdict(bad() * k) for k in (1, 3, 40))
+        assert sum(verdict(mixed(rng, bad, 0.8)) for _ in range(20)) == 0
+    ends = "".join(f"{rng.choice('abcdefgh')}{i} " for i in range(20))
+    assert quality_rules.bands((same() * 5)[:4096].encode() + ends.encode(), compress)[1] >= 1
+
+
+def test_verdict_matches_brute_force(spark, docs):
+    import zstandard
+
+    def ratio(raw):
+        return len(zstandard.ZstdCompressor(level=3).compress(raw)) / len(raw)
+
+    def fits(n, r, slack):
+        low, high = [(a, b) for below, a, b in quality_rules.BANDS if n < below][0]
+        return low * (1 - slack) <= r <= high * (1 + slack)
+
+    texts, kept = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, 0
+    for r in quality_rules.quality_rules(docs).collect():
+        raw = texts[r["doc_id"]].encode()
+        want = bool(raw) and not r["base_failed"] and fits(len(raw), ratio(raw), 0)
+        if len(raw) > 4096:
+            chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+            want = want and 4 * sum(not fits(len(c), ratio(c), 0.1) for c in chunks) <= len(chunks)
+        assert r["kept"] == want
+        kept += want
+    assert kept > 0.5 * len(texts)
 
 
 def test_urls(spark):
@@ -86,3 +124,73 @@ def test_urls(spark):
     assert out[1] == ("a.com", "/en/x", "com/en/", "block") and out[2][2:] == ("example.com/en/7", "allow") and out[3][2:] == ("net/de/", "allow")
     assert out[4][2:] == ("example.net/de/8", "block") and out[5][2:] == ("org/es/", "block") and out[6] == out[7] == ("", "", None, "allow")
     assert out[8] == ("", "", None, "allow") and out[9][3] == "block" and out[10][3] == "allow" and out[11][2] is None
+
+
+def test_language_by_brute_force_and_ties(spark, docs):
+    learned = langid.profiles(docs, sample=200, most=60)
+
+    def points(code):
+        out = []
+        while code:
+            out.insert(0, code & (1 << 21) - 1)
+            code >>= 21
+        return "".join(map(chr, out))
+
+    profiles = {k: [points(c) for c in v] for k, v in learned.items()}
+
+    def nearest(text):
+        import collections
+
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        counts = collections.Counter()
+        line = " " + " ".join(words) + " " if words else ""
+        for n in (1, 2, 3):
+            for i in range(len(line) - n + 1):
+                g = line[i : i + n]
+                if g != " " and not (n == 3 and g[1] == " "):
+                    counts[g] += 1
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        top = sorted(counts, key=lambda g: (-counts[g], code(g)))[:60]
+        if not top:
+            return "und"
+        away = {k: sum(abs(p.index(g) - i) if g in p else 60 for i, g in enumerate(top)) for k, p in profiles.items()}
+        return min(sorted(away), key=away.get)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.limit(150).collect()}
+    rows = spark.createDataFrame([*texts.items(), (10**7, None), (10**7 + 1, "12 .")], "doc_id long, text string")
+    for r in langid.identify(rows, learned, 60).collect():
+        assert r["lang_pred"] == nearest(texts.get(r["doc_id"])), r
+    same = {"bb": learned["en"] if "en" in learned else next(iter(learned.values()))}
+    tied = langid.identify(rows, {**same, "aa": same["bb"]}, 60).collect()
+    assert {r["lang_pred"] for r in tied} == {"aa", "und"}
+
+
+def test_pairwise_loss_and_quantile():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 400)
+    x = np.column_stack([y * 1.5 + rng.normal(size=400), rng.normal(size=400), -y + rng.normal(size=400)])
+    model = quality_classifier.learn(x, y)
+    z = np.clip((x - model["mean"]) / model["scale"], -8, 8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = (z[good][:, None, :] - z[bad][None, :, :]).reshape(-1, 3)  # every pair, by brute force
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 5e-4 * w @ w
+    best = np.zeros(3)
+    for _ in range(3000):
+        best += 0.5 * ((d / (1 + np.exp(d @ best))[:, None]).mean(0) - 1e-3 * best)
+    assert loss(model["w"]) < loss(best) + 0.005
+    s = z @ model["w"]
+    right = lambda t: ((s[good] >= t).mean() + (s[bad] < t).mean()) / 2
+    assert right(model["t"]) >= max(right(np.quantile(s, q)) for q in np.arange(0.002, 1, 0.002)) - 1e-9
+
+
+def test_quality_ties_and_repeated_ids(spark):
+    import numpy as np
+
+    rows = [(i, f"good words number {i % 5} here and there." if i % 2 else "BAD BAD ### $$$") for i in range(200)] * 2 + [(1, "BAD BAD ### $$$")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.lit("z"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(7, 0)], "doc_id long, quality int")
+    out = quality_classifier.quality(docs, labels).collect()
+    assert len(out) == len(rows) and len({(r["doc_id"], r["score"]) for r in out}) == 201  # equal texts, equal scores
+    assert np.isfinite([r["score"] for r in out]).all() and {r["predicted"] for r in out if r["doc_id"] % 2 and r["doc_id"] != 1} == {1}

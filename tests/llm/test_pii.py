@@ -108,3 +108,23 @@ def test_long_runs_stay_linear(spark):
 
 def test_empty_table(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stage_keeps_columns_with_names_of_its_own(spark):
+    text = "call +1 (988) 555-2485, mail me@mail.example.com or ssn 123-45-6789 end"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string")
+    names = ("text_before", "whole", "row", "clean", "all_spans", "pages", "reach", "h_ip", "k_email", "a dotted.name", "s")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    out = pii.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert len(rows) == 4 and all(r[c] == f"own {c}" for r in rows for c in names)
+    assert [r["text"] for r in rows if r["doc_id"] == 1] == ["call <PHONE>, mail <EMAIL> or ssn <NUMBER> end"] * 2
+    assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] > 1} == {2: None, 3: ""}
+    assert pii.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    text = "me@mail.example.com, " * 30_000
+    (row,) = pii.stage(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), "").collect()
+    assert row["text"] == "<EMAIL>, " * 30_000
