@@ -116,11 +116,13 @@ def curve_auc(spark, sf):
     return cv.auc(_curve(spark, sf))
 
 
-COSTCURVE = PICKED + """, cc AS (SELECT step, round(sum(cost) OVER w, 6) AS cum_cost, round(least(1, sum(cost) OVER w / 300), 6) AS rho, round(sum(gain) OVER w / 2950, 6) AS coverage FROM picked WINDOW w AS (ORDER BY step))"""
+COSTCURVE = PICKED + """, universe AS (SELECT greatest(count(*), 1) AS n FROM node_types WHERE type IN ('PHEN', 'DIAG', 'ISSUE')), cc AS (SELECT step, round(sum(cost) OVER w, 6) AS cum_cost, round(least(1, sum(cost) OVER w / 300), 6) AS rho, round(sum(gain) OVER w / (SELECT n FROM universe), 6) AS coverage FROM picked WINDOW w AS (ORDER BY step))"""
 
 
 def _cost_curve(spark, sf):
-    return cv.cost_curve(_picked(spark, sf), 300.0, F.lit(2950))
+    """The cost curve over the universe of the tables read."""
+    universe = fx.node_types(spark, sf).where("type IN ('PHEN', 'DIAG', 'ISSUE')").count()
+    return cv.cost_curve(_picked(spark, sf), 300.0, F.lit(max(universe, 1)))
 
 
 @query(COSTCURVE + " SELECT 'all' AS problem, step, cum_cost, rho, coverage FROM cc")
@@ -140,9 +142,7 @@ def curve_budget_end(spark, sf):
 
 
 def _sized_cost_curve(spark, sf):
-    """The cost curve over the universe of the tables read; the SQL of the other curves holds that of sf0.01."""
-    universe = fx.node_types(spark, sf).where("type IN ('PHEN', 'DIAG', 'ISSUE')").count()
-    return cv.cost_curve(_picked(spark, sf), 300.0, F.lit(max(universe, 1)))
+    return _cost_curve(spark, sf)
 
 
 @query()
@@ -187,17 +187,17 @@ def portfolio(spark, sf):
     return cv.portfolio(gq._costs(spark, sf).withColumn("problem", F.lit("all")))
 
 
-RUNS = "runs AS (SELECT l_linenumber AS k, l_suppkey % 5 AS run, count(DISTINCT l_partkey) / 2000 AS coverage FROM lineitem GROUP BY ALL)"
+RUNS = "runs AS (SELECT l_linenumber AS k, l_suppkey % 5 AS run, count(DISTINCT l_partkey) / (SELECT greatest(count(*), 1) FROM part) AS coverage FROM lineitem GROUP BY ALL)"
 
 
-def _runs(spark, sf, parts=2000):
-    li = fx.table(spark, sf, "lineitem")
+def _runs(spark, sf):
+    """Coverage over the parts of the tables read."""
+    li, parts = fx.table(spark, sf, "lineitem"), max(fx.table(spark, sf, "part").count(), 1)
     return li.groupBy(F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 5).alias("run")).agg((F.countDistinct("l_partkey") / parts).alias("coverage"))
 
 
 def _sized_runs(spark, sf):
-    """The runs over the parts of the tables read; the SQL holds the parts of sf0.01."""
-    return _runs(spark, sf, max(fx.table(spark, sf, "part").count(), 1))
+    return _runs(spark, sf)
 
 
 @query(f"WITH {RUNS}, b AS (SELECT k, round(avg(coverage), 6) AS mean, round(stddev_pop(coverage), 6) AS std FROM runs GROUP BY k) SELECT *, max(mean) OVER (ORDER BY k) AS envelope FROM b")
@@ -229,17 +229,17 @@ def across_apps_sized(spark, sf):
 
 @query()
 def merge_signature(spark, sf):
-    return se.merged(_views(spark, sf), threshold=0.2)
+    return se.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), threshold=0.2)
 
 
 @query()
 def merge_report(spark, sf):
-    return se.merged(_views(spark, sf), threshold=0.05, mode="report")
+    return se.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), threshold=0.05, mode="report")
 
 
 @query()
 def merge_compress(spark, sf):
-    return se.merged(_views(spark, sf), threshold=0.2, empty_both=0.0, passes=False)
+    return se.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), threshold=0.2, empty_both=0.0, passes=False)
 
 
 def _views(spark, sf):
@@ -251,39 +251,39 @@ def _views(spark, sf):
 
 # structure
 
-SPARSE = gq.FACTS + """, sp AS (SELECT DISTINCT issue AS a, elem AS b FROM facts WHERE partkey % 4 = 0 AND line = 1), sn AS (SELECT a AS node FROM sp UNION SELECT b FROM sp UNION SELECT issue FROM facts),
-lk AS (SELECT a AS x, b AS y FROM sp UNION SELECT b, a FROM sp), reach AS (SELECT node AS root, node FROM sn UNION SELECT r.root, l.y FROM reach r JOIN lk l ON r.node = l.x)"""
+#: Labels fall to the least of a node and its neighbours, more often than the graph is wide.
+ROUNDS = 14
+SPARSE = gq.FACTS + """, sp AS MATERIALIZED (SELECT DISTINCT issue AS a, elem AS b FROM facts), lk AS MATERIALIZED (SELECT a AS x, b AS y FROM sp UNION SELECT b, a FROM sp),
+l0 AS (SELECT DISTINCT x AS node, x AS root FROM lk)""" + "".join(f""",
+l{k} AS MATERIALIZED (SELECT node, min(root) AS root FROM (SELECT node, root FROM l{k - 1} UNION ALL SELECT y, root FROM l{k - 1} JOIN lk ON node = x) GROUP BY node)""" for k in range(1, ROUNDS + 1))
 
 
 def _sparse(spark, sf):
     facts = fx.facts(spark, sf)
-    links = facts.where("partkey % 4 = 0 AND line = 1").select(F.col("issue").alias("a"), F.col("elem").alias("b")).distinct()
+    links = facts.select(F.col("issue").alias("a"), F.col("elem").alias("b")).distinct()
     nodes = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(facts.select(F.col("issue").alias("node"))).distinct()
     return cc.all_components(nodes, links)
 
 
-RECURSE = "WITH RECURSIVE " + SPARSE[5:]
-
-
-@query(RECURSE + " SELECT node, min(root) AS component FROM reach GROUP BY node")
+@query(SPARSE + f" SELECT node, root AS component FROM l{ROUNDS}")
 def components(spark, sf):
     return _sparse(spark, sf)
 
 
-@query(RECURSE + """, c AS (SELECT node, min(root) AS component FROM reach GROUP BY node), z AS (SELECT component, count(*) AS n FROM c GROUP BY component)
+@query(SPARSE + f", c AS (SELECT node, root AS component FROM l{ROUNDS})" + """, z AS (SELECT component, count(*) AS n FROM c GROUP BY component)
 SELECT CAST(sum(n) AS BIGINT) AS n_nodes, count(*) AS n_components, max(n) AS lcc_size, round(max(n) / sum(n), 6) AS lcc_ratio FROM z""")
 def lcc(spark, sf):
     return cc.largest(_sparse(spark, sf))
 
 
-@query(gq.FACTS + """, e AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM edge_rows WHERE relation IN ('concerns', 'accompanied_by')), half AS (SELECT DISTINCT name AS node_id, report_id FROM mentions WHERE line % 2 = 0 AND type <> 'MOD'),
+@query(gq.FACTS + """, e AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM edge_rows WHERE relation IN ('concerns', 'accompanied_by')), half AS (SELECT DISTINCT name AS node_id, report_id FROM mentions WHERE type <> 'MOD'),
 n AS (SELECT node_id, count(*) AS n FROM half GROUP BY node_id), s AS (SELECT a, b, count(*) AS shared FROM e JOIN half x ON x.node_id = a JOIN half y ON y.node_id = b AND x.report_id = y.report_id GROUP BY a, b),
 r AS (SELECT coalesce(shared, 0) AS shared, na.n AS na, nb.n AS nb FROM e LEFT JOIN s USING (a, b) LEFT JOIN n na ON na.node_id = a LEFT JOIN n nb ON nb.node_id = b)
 SELECT count(*) AS n_edges, count(*) FILTER (na IS NOT NULL AND nb IS NOT NULL) AS n_eligible, round(avg(CASE WHEN na IS NOT NULL AND nb IS NOT NULL THEN CAST(shared = 0 AS INT) END), 6) AS cer,
 round(avg(1 - shared / (na + nb - shared)), 6) AS cer_j, round(count(*) FILTER (shared = 0 AND na IS NOT NULL AND nb IS NOT NULL) / count(*), 6) AS cer_all FROM r""")
 def graph_metrics(spark, sf):
     links = g.simple_graph(fx.edge_rows(spark, sf).where("relation IN ('concerns', 'accompanied_by')")).select("a", "b")
-    half = fx.mentions(spark, sf).where("line % 2 = 0 AND type <> 'MOD'").select(F.col("name").alias("node_id"), "report_id").distinct()
+    half = fx.mentions(spark, sf).where("type <> 'MOD'").select(F.col("name").alias("node_id"), "report_id").distinct()
     return mt.cross_report(links, half)
 
 

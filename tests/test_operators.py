@@ -160,3 +160,66 @@ def test_every_vector_is_clustered(spark):
         rows = f(spark, sf).collect()
         assert sorted(r["id"] for r in rows) == ids
     assert len({r["cluster_id"] for r in rq.hc_average(spark, sf).collect()}) == 20
+
+
+def test_one_to_one_join_refuses_repeated_and_missing_keys(spark):
+    import pytest
+
+    from sightline.operators import summary
+
+    left = spark.createDataFrame([("a", 1, 10), ("a", 2, 20)], "app string, id int, x int")
+    right = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("b", 9, 7)], "app string, id int, y int")
+    assert sorted(map(tuple, summary.one_to_one(left, right, ["app", "id"]).collect())) == [("a", 1, 10, 5), ("a", 2, 20, None)]
+    for bad_left, bad_right in ((left.union(left), right), (left, right.union(right)), (left, right.where("id <> 2"))):
+        with pytest.raises(Exception, match="key"):
+            summary.one_to_one(bad_left, bad_right, ["app", "id"]).collect()
+
+
+def test_repaired_clusters_by_brute_force(spark):
+    import random
+
+    from sightline.operators import summary
+
+    rng = random.Random(4)
+    for _ in range(3):
+        clusters = {c: {rng.randrange(-1, 25) for _ in range(rng.randrange(1, 8))} for c in rng.sample(range(1, 30), 5)}
+        reports = list(range(1, 21))
+        clusters_ = {c: {m for m in ms if m > 0} for c, ms in clusters.items()}
+        clusters_ = {c: ms for c, ms in clusters_.items() if ms}
+        own = {}
+        for r in reports:
+            owners = sorted((-len(ms), c) for c, ms in clusters_.items() if r in ms)
+            own[r] = owners[0][1] if owners else max(clusters_, default=0) + 1
+        number = {c: i + 1 for i, c in enumerate(sorted(set(own.values())))}
+        got = summary.repaired_clusters(
+            spark.createDataFrame([(c, m) for c, ms in clusters.items() for m in ms], "cluster_id long, report_no long"), spark.createDataFrame([(r,) for r in reports], "report_no long")
+        )
+        assert {r["report_no"]: r["cluster_id"] for r in got.collect()} == {r: number[c] for r, c in own.items()}
+
+
+def test_graph_ranking_counts_the_reports_own_anchors(spark):
+    from sightline.operators import retrieve
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    anchors = frame([("q", "n1"), ("q", "n2"), ("q", "n2")], "query_id string, node_id string")
+    nodes = frame([("s", "n1"), ("s", "n2"), ("t", "n1")], "seed string, node_id string")
+    reports = frame([("s", "q"), ("s", "r1"), ("s", "r2"), ("t", "r2")], "seed string, report_id string")
+    costs = frame([("s", 2.0), ("t", 1.0)], "seed string, cost double")
+    bridge = frame([("n1", "q"), ("n2", "q"), ("n1", "r2"), ("x", "r1")], "node_id string, report_id string")
+    got = {r["doc_id"]: (r["support"], r["shared"], r["min_cost"], r["score"], r["rank"]) for r in retrieve.graph_ranking(anchors, nodes, reports, costs, bridge).collect()}
+    assert got == {"r2": (2, 1, 1.0, 2.5, 1), "r1": (1, 0, 2.0, 1.0, 2)}
+
+
+def test_merged_views_cost_as_unmerged_ones_do(spark):
+    from pyspark.sql import functions as F
+
+    from sightline.operators import select, views
+
+    reports = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2")], "seed string, report_id string")
+    nodes = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "seed string, node_id string")
+    edges = spark.createDataFrame([("1",), ("1",), ("2",), ("7",)], "report_id string")
+    want = {r["seed"]: r["cost"] for r in views.view_costs(reports, nodes, edges).collect()}
+    rows = reports.groupBy("seed").agg(F.collect_set("report_id").alias("report_ids")).join(
+        nodes.groupBy("seed").agg(F.collect_list(F.struct("node_id", F.lit("ISSUE").alias("type"))).alias("nodes")), "seed"
+    ).withColumn("problem", F.lit("all"))
+    assert {r["view_id"]: r["cost"] for r in select.merged(rows, edges, threshold=0.9).collect()} == want
