@@ -90,14 +90,15 @@ def judge(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"rule": rule, "named": verdict, "grams": F.concat("host", "path")})
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
 
-    def code(i: Column) -> Column:
-        return F.ascii(F.col("grams").substr(i, F.lit(1)))
+    # one pass over the characters, with the two before in hand: a long url costs its length
+    codes = F.transform(F.split("grams", ""), lambda c: F.ascii(c))
 
-    def weight(i: Column) -> Column:
-        return F.get(table, ((code(i) * 961 + code(i + 1) * 31 + code(i + 2)) % BUCKETS).cast("int"))
+    def step(acc: Column, c: Column) -> Column:
+        weight = F.get(table, ((acc["a"] * 961 + acc["b"] * 31 + c) % BUCKETS).cast("int"))
+        return F.struct(acc["b"].alias("a"), c.alias("b"), (acc["total"] + F.when(acc["a"] >= 0, weight).otherwise(0)).alias("total"))
 
-    places = F.sequence(F.lit(1), F.length("grams") - (GRAM - 1))
-    total = F.aggregate(places, F.lit(bias).cast("long"), lambda acc, i: acc + weight(i))
+    start = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(bias).cast("long").alias("total"))
+    total = F.aggregate(codes, start, step, lambda acc: acc["total"])
     own = F.when((F.length("grams") >= GRAM) & (total > 0), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("named", own).alias("verdict"))
 

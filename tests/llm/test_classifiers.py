@@ -194,3 +194,18 @@ def test_quality_ties_and_repeated_ids(spark):
     out = quality_classifier.quality(docs, labels).collect()
     assert len(out) == len(rows) and len({(r["doc_id"], r["score"]) for r in out}) == 201  # equal texts, equal scores
     assert np.isfinite([r["score"] for r in out]).all() and {r["predicted"] for r in out if r["doc_id"] % 2 and r["doc_id"] != 1} == {1}
+
+
+def test_long_urls_are_linear_and_empty_tables_empty(spark):
+    import time
+
+    long = "http://é.example.org/" + "ab/😀" * 100_000
+    pages = spark.createDataFrame([(1, long), (2, "http://ab"), (3, "http://a/b")], "page_id long, url string")
+    began = time.time()
+    out = {r["page_id"]: r for r in url_filters.judge(pages).collect()}
+    assert time.time() - began < 30 and len(out[1]["path"]) == 400_001
+    bias, weights = url_filters.train()
+    for r in out.values():
+        want = "block" if len(r["host"] + r["path"]) >= 3 and bias + sum(weights[g] for g in url_filters.gram_hash(r["host"] + r["path"])) > 0 else "allow"
+        assert r["rule"] is not None or r["verdict"] == want
+    assert url_filters.judge(pages.limit(0)).count() == 0

@@ -106,3 +106,50 @@ def test_pipeline_stages_by_brute_force(spark):
             assert after == {c for (_, _, c) in brute(list(before.items()), 5, 80, 100)}
         if name in ("pii", "packing"):
             assert after == set(before)
+
+
+def test_exact_dedup_stage_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "Abc"), (5, "aBC"), (5, "other"), (5, "other"), (7, None), (8, ""), (None, "x"), (9, "X")]
+    names = ("folded_text", "kept_sha", "mark", "kept", "recipe", "n", "a b.c")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.concat(F.lit(c), F.coalesce("text", F.lit("null"))) for c in names}).repartition(3)
+    out = exact_dedup.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(5, "aBC"), (5, "other"), (8, ""), (9, "X")])
+    assert all(r[c] == c + r["text"] for r in got for c in names)
+    assert exact_dedup.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_of_empty_tables_and_odd_rows(spark):
+    from sightline.llm import pii, quality_classifier
+
+    rows = [(1, None), (1, None), (2, ""), (3, "word " * 40_000), (4, "one"), (4, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"y": F.lit(1), "x": F.lit("z"), "score": F.lit(None).cast("string")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, docs, SF)
+        if stage in (pii.stage, quality_classifier.stage):
+            assert out.columns == docs.columns and out.count() == len(rows) if stage is pii.stage else out.count() <= len(rows)
+
+
+def test_run_equals_the_stages_by_brute_force(spark):
+    """run() against plain Python: the classifier's own verdicts, lower-cased texts, pairs of shingle sets, redacted
+    texts, and ids of the tokenizer."""
+    from sightline.llm import pii, quality_classifier
+    from test_ngram_join import brute
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in quality_classifier.stage(spark, docs, SF).collect()}
+    last = {}
+    for i, t in sorted(kept.items()):
+        last["".join(c.lower() if c < "\x80" else c for c in t or "")] = i
+    kept = {i: kept[i] for i in last.values()}
+    first = {c for _, _, c in brute(list(kept.items()), 5, 80, 100)}
+    rows = spark.createDataFrame([(i, kept[i]) for i in first], "doc_id long, text string")
+    tokenizer, want = Tokenizer.from_file(PATH), {}
+    for r in pii.redacted(rows).collect():
+        want[r["doc_id"]] = zlib.crc32(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids").collect():
+        got[r["doc_id"]].append((r["start"], bytes(r["ids"])))
+    assert {i: zlib.crc32(b"".join(p for _, p in sorted(parts))) for i, parts in got.items()} == want
