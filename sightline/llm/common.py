@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -96,6 +97,14 @@ def keep(key: tuple, make: Callable):
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle workers of earlier stages count against an executor's limit too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the allocator of other C libraries may have none
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]]) -> DataFrame:
     """mapInArrow with per-task state: make() runs once a task and returns batch -> dicts of columns;
     what that function has as attribute finish runs after the last batch."""
@@ -109,17 +118,20 @@ def map_batches(df: DataFrame, schema: str | T.StructType, make: Callable[[], Ca
         work = make()
         if _CALLS[0] == calls:  # an operator without such a thing frees what others kept
             _KEPT.clear()
+            give_back()
 
         def each() -> Iterator[dict]:
             for batch in batches:
                 if batch.num_rows:
                     yield from work(batch)
                 del batch
-                pa.default_memory_pool().release_unused()
+                give_back()
 
         found = each()
         for columns in chain(found, (columns for last in [getattr(work, "finish", tuple)] for columns in last())):
             yield pa.RecordBatch.from_arrays([_array(columns[field.name], field.type) for field in arrow], schema=arrow)
+        del work, found
+        give_back()
 
     return df.mapInArrow(run, struct)
 
