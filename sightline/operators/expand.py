@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.ids import order_columns
+from sightline.functions.ids import order_columns, order_key
+
+
+#: Of each node's reports so many bound what a hop may keep.
+PROBE = 4
 
 
 def _first_reports(node_report: DataFrame, r_max: int) -> DataFrame:
-    """Each node's first r_max reports in id order: a later one can't survive a hop's truncation."""
+    """Each node's first r_max reports in id order, with their key and place: a later one can't survive a hop's truncation."""
     place = F.row_number().over(Window.partitionBy("node_id").orderBy(*order_columns(F.col("report_id"))))
-    return node_report.withColumn("place", place).where(F.col("place") <= r_max).drop("place")
+    return node_report.select("node_id", "report_id", order_key(F.col("report_id")).alias("key"), place.alias("place")).where(F.col("place") <= r_max)
+
+
+def _reached(touched: DataFrame, near: DataFrame, r_max: int) -> DataFrame:
+    """seed, report_id of the touched nodes' reports, less those that can't be among a seed's first r_max + 1.
+
+    The nodes' first PROBE reports alone give a seed r_max + 1 distinct ones or not; if they do, the last of
+    these bounds what the truncation can keep, and the join drops later reports before they are shuffled."""
+    few = touched.join(near.where(F.col("place") <= PROBE), "node_id").select("seed", "key").distinct()
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("key"))
+    bound = few.select("seed", F.col("key").alias("bound"), place.alias("n")).where(F.col("n") == r_max + 1).drop("n")
+    rows = touched.join(bound, "seed", "left").join(near, "node_id")
+    return rows.where(F.col("bound").isNull() | (F.col("key") <= F.col("bound"))).select("seed", "report_id").distinct()
 
 
 def _truncated(reports: DataFrame, r_max: int) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +56,7 @@ def expand(seeds: DataFrame, node_report: DataFrame, hops: int = 1, r_max: int =
     halted = reports.join(over.select("seed"), "seed", "left_semi")
     for hop in range(1, hops + 1):
         touched = live.join(node_report, "report_id").select("seed", "node_id").distinct()
-        reached = touched.join(near, "node_id").select("seed", "report_id", F.lit(hop).alias("depth"))
+        reached = _reached(touched, near, r_max).select("seed", "report_id", F.lit(hop).alias("depth"))
         grown = live.unionByName(reached).groupBy("seed", "report_id").agg(F.min("depth").alias("depth"))
         kept, over = _truncated(grown, r_max)
         over = over.select("seed", F.lit("r-max-truncated").alias("stopped_reason"), F.lit(hop).alias("hop"))

@@ -77,13 +77,18 @@ def cover_gain_only(spark, sf):
     return se.select(_candidates(spark, sf), 50, budget=1000.0, gain_only=True)
 
 
-@query(gq.COSTS + ", o AS (SELECT seed, CAST(cost AS DOUBLE) AS cost, row_number() OVER (ORDER BY cost DESC, seed) AS place FROM costs) SELECT seed, cost, round(sum(cost) OVER (ORDER BY place), 6) AS cum_cost FROM o WHERE place <= 7")
+BUDGET = 1000.0
+
+
+@query(gq.COSTS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS MATERIALIZED (SELECT seed, CAST(cost AS DOUBLE) AS cost, row_number() OVER (ORDER BY cost DESC, seed) AS place FROM costs),
+walk AS (SELECT CAST(0 AS BIGINT) AS place, CAST(0 AS DOUBLE) AS total, CAST(NULL AS VARCHAR) AS seed, CAST(0 AS DOUBLE) AS cost, false AS taken
+UNION ALL SELECT o.place, CASE WHEN total + o.cost <= {BUDGET} + 1e-9 THEN total + o.cost ELSE total END, o.seed, o.cost, total + o.cost <= {BUDGET} + 1e-9 FROM walk JOIN o ON o.place = walk.place + 1)
+SELECT seed, cost, round(total, 6) AS cum_cost FROM walk WHERE taken""")
 def feasible_prefix(spark, sf):
     from pyspark.sql import Window
 
-    costs = gq._costs(spark, sf)
-    ordered = costs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cost"), "seed"))).where("place <= 7")
-    return se.feasible_prefix(ordered, 1e9)
+    ordered = gq._costs(spark, sf).withColumn("place", F.row_number().over(Window.orderBy(F.desc("cost"), "seed")))
+    return se.feasible_prefix(ordered, BUDGET)
 
 
 @query()
@@ -243,7 +248,7 @@ def merge_compress(spark, sf):
 
 
 def _views(spark, sf):
-    reports, nodes, _ = gq._expanded(spark, sf)
+    reports, nodes, _ = gq._expanded(spark, sf, fx.few_seeds)
     r = reports.groupBy("seed").agg(F.collect_set("report_id").alias("report_ids"))
     n = nodes.join(fx.node_types(spark, sf), "node_id").groupBy("seed").agg(F.collect_list(F.struct("node_id", "type")).alias("nodes"))
     return r.join(n, "seed").select(F.lit("all").alias("problem"), "seed", "report_ids", "nodes")

@@ -71,11 +71,19 @@ def node_types(spark, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark, sf_dir: str) -> DataFrame:
-    """Every 40th part as a seed, by number."""
+    """Every part as a seed."""
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
+
+
+SEEDS_SQL = "seeds AS (SELECT 'P' || p_partkey AS seed FROM part)"
+
+
+def few_seeds(spark, sf_dir: str) -> DataFrame:
+    """Every 40th part as a seed, by number: a caller's short list, for what compares or folds all its views."""
     return table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
 
 
-SEEDS_SQL = "seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 40 = 0)"
+FEW_SEEDS_SQL = "seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 40 = 0)"
 
 
 def vectors(spark, sf_dir: str) -> DataFrame:

@@ -220,7 +220,7 @@ def x_token_accounting(spark, sf):
 # expansion
 
 RMAX = 100
-EXPAND = FACTS + f""", {fx.SEEDS_SQL}, r0 AS (SELECT seed, report_id, 0 AS depth FROM seeds JOIN bridge ON node_id = seed),
+_EXPAND = f""", r0 AS (SELECT seed, report_id, 0 AS depth FROM seeds JOIN bridge ON node_id = seed),
 v1 AS (SELECT DISTINCT seed, node_id FROM r0 JOIN bridge USING (report_id)),
 g1 AS (SELECT seed, report_id, min(depth) AS depth FROM (SELECT * FROM r0 UNION ALL SELECT DISTINCT seed, report_id, 1 FROM v1 JOIN bridge USING (node_id)) GROUP BY 1, 2),
 n1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, CAST(report_id AS BIGINT)) AS place, count(*) OVER (PARTITION BY seed) AS n FROM g1),
@@ -228,8 +228,11 @@ reports AS (SELECT seed, report_id, depth, n FROM n1 WHERE place <= {RMAX}),
 nodes AS (SELECT seed, node_id FROM reports JOIN bridge USING (report_id) UNION SELECT seed, seed FROM seeds)"""
 
 
-def _expanded(spark, sf, hops=1):
-    return ex.expand(fx.seeds(spark, sf), fx.bridge(spark, sf), hops, RMAX)
+EXPAND, FEW = FACTS + ", " + fx.SEEDS_SQL + _EXPAND, FACTS + ", " + fx.FEW_SEEDS_SQL + _EXPAND
+
+
+def _expanded(spark, sf, seeds=fx.seeds):
+    return ex.expand(seeds(spark, sf), fx.bridge(spark, sf), 1, RMAX)
 
 
 @query(EXPAND + " SELECT seed, report_id, depth FROM reports")
@@ -295,19 +298,21 @@ def seed_rank(spark, sf):
 
 # views
 
-COSTS = EXPAND + """, er AS (SELECT report_id, count(*) AS k FROM edge_rows GROUP BY report_id),
+_COSTS = """, er AS (SELECT report_id, count(*) AS k FROM edge_rows GROUP BY report_id),
 costs AS (SELECT seed, coalesce(n_reports, 0) AS n_reports, n_nodes, coalesce(n_edges, 0) AS n_edges, round(1.0 * coalesce(n_reports, 0) + 0.02 * n_nodes + 0.01 * coalesce(n_edges, 0), 6) AS cost FROM
   (SELECT seed, count(*) AS n_nodes FROM nodes GROUP BY seed) LEFT JOIN (SELECT seed, count(*) AS n_reports, CAST(sum(k) AS BIGINT) AS n_edges FROM reports JOIN er USING (report_id) GROUP BY seed) USING (seed))"""
-ITEMS = COSTS + ", items AS (SELECT seed, node_id FROM nodes JOIN node_types USING (node_id) WHERE type IN ('PHEN', 'DIAG', 'ISSUE'))"
+_ITEMS = ", items AS (SELECT seed, node_id FROM nodes JOIN node_types USING (node_id) WHERE type IN ('PHEN', 'DIAG', 'ISSUE'))"
+COSTS, FEW_COSTS = EXPAND + _COSTS, FEW + _COSTS
+ITEMS, FEW_ITEMS = COSTS + _ITEMS, FEW_COSTS + _ITEMS
 
 
-def _costs(spark, sf):
-    reports, nodes, _ = _expanded(spark, sf)
+def _costs(spark, sf, seeds=fx.seeds):
+    reports, nodes, _ = _expanded(spark, sf, seeds)
     return v.view_costs(reports, nodes, fx.edge_rows(spark, sf).select("report_id"))
 
 
-def _items(spark, sf):
-    return v.covered(_expanded(spark, sf)[1], fx.node_types(spark, sf), UNIVERSE)
+def _items(spark, sf, seeds=fx.seeds):
+    return v.covered(_expanded(spark, sf, seeds)[1], fx.node_types(spark, sf), UNIVERSE)
 
 
 @query(COSTS + " SELECT seed, n_reports, n_nodes, n_edges, CAST(cost AS DOUBLE) AS cost FROM costs")
@@ -320,30 +325,30 @@ def view_universe(spark, sf):
     return _items(spark, sf)
 
 
-@query(ITEMS + " SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM items a JOIN items b USING (node_id) WHERE a.seed < b.seed GROUP BY 1, 2")
+@query(FEW_ITEMS + " SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM items a JOIN items b USING (node_id) WHERE a.seed < b.seed GROUP BY 1, 2")
 def view_blocking_pairs(spark, sf):
-    return v.sharing_pairs(_items(spark, sf))
+    return v.sharing_pairs(_items(spark, sf, fx.few_seeds))
 
 
-JACCARD = ITEMS + """, n AS (SELECT seed, count(*) AS n FROM items GROUP BY seed), s AS (SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM items a JOIN items b USING (node_id) WHERE a.seed < b.seed GROUP BY 1, 2),
+JACCARD = FEW_ITEMS + """, n AS (SELECT seed, count(*) AS n FROM items GROUP BY seed), s AS (SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM items a JOIN items b USING (node_id) WHERE a.seed < b.seed GROUP BY 1, 2),
 j AS (SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON x.seed = a JOIN n y ON y.seed = b)"""
 
 
 @query(JACCARD + " SELECT a, b, shared, jaccard FROM j")
 def view_pairs_jaccard(spark, sf):
-    return v.jaccard_pairs(_items(spark, sf))
+    return v.jaccard_pairs(_items(spark, sf, fx.few_seeds))
 
 
 @query(JACCARD + """, c AS (SELECT count(*) AS n_views FROM n), t AS (SELECT coalesce(sum(jaccard), 0) AS total, coalesce(max(jaccard), 0) AS top, count(*) AS k FROM j)
 SELECT n_views, k AS n_overlapping, round(total / greatest(n_views * (n_views - 1) / 2, 1), 6) AS jaccard_avg, round(top, 6) AS jaccard_max, round(total / greatest(k, 1), 6) AS jaccard_avg_nonzero,
 round(k / greatest(n_views * (n_views - 1) / 2, 1), 6) AS frac_overlapping FROM c, t""")
 def redundancy(spark, sf):
-    return v.overlap_stats(_items(spark, sf))
+    return v.overlap_stats(_items(spark, sf, fx.few_seeds))
 
 
 @query(JACCARD + " SELECT a, b, shared, jaccard FROM j ORDER BY jaccard DESC, a, b LIMIT 20")
 def top_overlap_pairs(spark, sf):
-    return v.jaccard_pairs(_items(spark, sf)).orderBy(F.desc("jaccard"), "a", "b").limit(20)
+    return v.jaccard_pairs(_items(spark, sf, fx.few_seeds)).orderBy(F.desc("jaccard"), "a", "b").limit(20)
 
 
 @query(ITEMS + """, chosen AS (SELECT seed FROM costs ORDER BY cost DESC, seed LIMIT 10), hit AS (SELECT DISTINCT node_id FROM items JOIN chosen USING (seed)),

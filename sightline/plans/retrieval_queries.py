@@ -69,8 +69,8 @@ def _queries(spark, sf):
     return fx.vectors(spark, sf).where("CAST(id AS BIGINT) % 50 = 0")
 
 
-def _scores(spark, sf):
-    return vc.dense_scores(_queries(spark, sf), fx.vectors(spark, sf))
+def _scores(spark, sf, most=None):
+    return vc.dense_scores(_queries(spark, sf), fx.vectors(spark, sf), most)
 
 
 def _near(spark, sf):
@@ -87,7 +87,7 @@ def _rankings(spark, sf):
 
 @query(f"WITH {SCORES} SELECT app, query_id, doc_id, rank, score FROM glo WHERE rank <= 200")
 def dense_topk(spark, sf):
-    return vc.ranked(_scores(spark, sf), 200)
+    return vc.ranked(_scores(spark, sf, 200), 200)
 
 
 @query(f"WITH {SCORES}{UNNESTED} SELECT app, query_id, cluster_id, rank, score FROM near WHERE rank <= 5")
