@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _candidates(spark, sf):
-    return se.candidates(gq._items(spark, sf), gq._costs(spark, sf))
+    return se.candidates(gq._items(spark, sf, fx.few_seeds), gq._costs(spark, sf, fx.few_seeds))
 
 
 STEPS = 4
@@ -35,7 +35,7 @@ STEPS = 4
 
 def _greedy_sql(steps: int) -> str:
     """The first steps of the greedy cover, unrolled."""
-    out, covered = gq.ITEMS, ""
+    out, covered = gq.FEW_ITEMS, ""
     for k in range(1, steps + 1):
         left = f"SELECT * FROM items WHERE node_id NOT IN (SELECT node_id FROM items WHERE seed IN ({covered}))" if covered else "SELECT * FROM items"
         out += f""", s{k} AS (SELECT {k} AS step, seed, gain, CAST(cost AS DOUBLE) AS cost FROM (SELECT seed, count(*) AS gain FROM ({left}) GROUP BY seed) JOIN costs USING (seed)
@@ -59,7 +59,7 @@ def cover_greedy(spark, sf):
 
 @query(PICKED + " SELECT step, seed, gain, round(cost, 6) AS cost FROM picked")
 def cover_greedy_joins(spark, sf):
-    return se.exact_greedy_sql_steps(gq._items(spark, sf), gq._costs(spark, sf), STEPS).select("step", "seed", "gain", F.round("cost", 6).alias("cost"))
+    return se.exact_greedy_sql_steps(gq._items(spark, sf, fx.few_seeds), gq._costs(spark, sf, fx.few_seeds), STEPS).select("step", "seed", "gain", F.round("cost", 6).alias("cost"))
 
 
 @query()
@@ -108,7 +108,7 @@ curve AS (SELECT k, count(node_id) AS covered, round(count(node_id) / max(n), 6)
 
 def _curve(spark, sf):
     universe = fx.node_types(spark, sf).where("type IN ('PHEN', 'DIAG', 'ISSUE')").agg(F.count("*").alias("n"))
-    return cv.coverage(_picked(spark, sf), gq._items(spark, sf), universe, 10)
+    return cv.coverage(_picked(spark, sf), gq._items(spark, sf, fx.few_seeds), universe, 10)
 
 
 @query(CURVE + " SELECT 'all' AS problem, k, covered, coverage FROM curve")

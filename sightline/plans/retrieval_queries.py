@@ -135,16 +135,16 @@ def ranking_by_text_key(spark, sf):
     return rt.by_text_key(vc.ranked(_scores(spark, sf), 50), keys, 20)
 
 
-@query(gq.COSTS + """, anchors AS (SELECT report_id AS query_id, node_id FROM bridge WHERE CAST(report_id AS BIGINT) % 50 = 0), hit AS (SELECT DISTINCT query_id, seed FROM anchors JOIN nodes USING (node_id)),
+@query(gq.FEW_COSTS + """, anchors AS (SELECT report_id AS query_id, node_id FROM bridge WHERE CAST(report_id AS BIGINT) % 50 = 0), hit AS (SELECT DISTINCT query_id, seed FROM anchors JOIN nodes USING (node_id)),
 feat AS (SELECT query_id, report_id AS doc_id, count(*) AS support, round(min(cost), 6) AS min_cost FROM hit JOIN reports USING (seed) JOIN costs USING (seed) WHERE query_id <> report_id GROUP BY ALL),
 sh AS (SELECT query_id, report_id AS doc_id, count(*) AS shared FROM anchors JOIN bridge USING (node_id) GROUP BY ALL),
 sc AS (SELECT query_id, doc_id, support, min_cost, coalesce(shared, 0) AS shared, CAST(round(support + 0.5 * coalesce(shared, 0), 6) AS DOUBLE) AS score FROM feat LEFT JOIN sh USING (query_id, doc_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, min_cost, length(doc_id), doc_id) AS rank FROM sc)
 SELECT query_id, doc_id, support, CAST(min_cost AS DOUBLE) AS min_cost, shared, score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 20""")
 def graph_retrieve(spark, sf):
-    reports, nodes, _ = gq._expanded(spark, sf)
+    reports, nodes, _ = gq._expanded(spark, sf, fx.few_seeds)
     anchors = fx.bridge(spark, sf).where("CAST(report_id AS BIGINT) % 50 = 0").select(F.col("report_id").alias("query_id"), "node_id")
-    return rt.graph_ranking(anchors, nodes, reports.select("seed", "report_id"), gq._costs(spark, sf), fx.bridge(spark, sf), most=20)
+    return rt.graph_ranking(anchors, nodes, reports.select("seed", "report_id"), gq._costs(spark, sf, fx.few_seeds), fx.bridge(spark, sf), most=20)
 
 
 @query()

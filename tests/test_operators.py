@@ -223,3 +223,28 @@ def test_merged_views_cost_as_unmerged_ones_do(spark):
         nodes.groupBy("seed").agg(F.collect_list(F.struct("node_id", F.lit("ISSUE").alias("type"))).alias("nodes")), "seed"
     ).withColumn("problem", F.lit("all"))
     assert {r["view_id"]: r["cost"] for r in select.merged(rows, edges, threshold=0.9).collect()} == want
+
+
+def test_bounded_hop_by_brute_force(spark):
+    """A hop keeps the nearest r_max reports, ties by id, though later reports leave before the shuffle."""
+    import random
+
+    from sightline.operators import expand
+
+    rng = random.Random(3)
+    links = sorted({(f"n{min(int(rng.expovariate(0.2)), 30)}", str(rng.randrange(300))) for _ in range(700)})
+    of_node, of_report = {}, {}
+    for n, r in links:
+        of_node.setdefault(n, set()).add(r)
+        of_report.setdefault(r, set()).add(n)
+    want = set()
+    for seed in ("n20", "n12", "n30"):
+        first = of_node.get(seed, set())
+        depth = {r: 0 for r in first}
+        if len(first) <= 12:
+            for r in {x for f in first for n in of_report[f] for x in of_node[n]} - first:
+                depth[r] = 1
+        want |= {(seed, r, depth[r]) for r in sorted(depth, key=lambda r: (depth[r], int(r)))[:12]}
+    seeds = spark.createDataFrame([("n20",), ("n12",), ("n30",)], "seed string")
+    reports, _, _ = expand.expand(seeds, spark.createDataFrame(links, "node_id string, report_id string"), 1, 12)
+    assert {tuple(r) for r in reports.select("seed", "report_id", "depth").collect()} == want
