@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sightline.llm import exact_dedup, langid, ngram_join, packing, pii, quality_classifier, quality_rules, sentencepiece_fst, suffix_dedup, url_filters
+from sightline.llm import exact_dedup, html_extract, langid, ngram_join, packing, pii, prefix_trie, quality_classifier, quality_rules, sentencepiece_fst, structure_repair, suffix_dedup, url_filters
 from sightline.llm.common import read
 
 
@@ -50,8 +50,21 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_structure_repair(spark, sf_dir):
+    return structure_repair.repaired_damage(read(spark, sf_dir, "conversations"))
+
+
+def op13_html_extract(spark, sf_dir):
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_ngram_join, op3_quality_rules, op4_quality_classifier, op5_suffix_dedup, op6_url_filters, op7_packing, op8_pii, op9_language_id, op10_exact_dedup,
+    op11_prefix_trie, op12_structure_repair, op13_html_extract,
 )}
 
 ORACLES = {
@@ -62,4 +75,6 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
       FROM documents)
 WINDOW w AS (PARTITION BY t)""",
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_structure_repair": structure_repair.ORACLE,
 }
