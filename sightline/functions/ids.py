@@ -37,6 +37,18 @@ def order_columns(s: Column) -> list[Column]:
     return [(~number).alias("text_last"), F.when(number, F.length(bare)).otherwise(0).alias("digits"), F.when(number, bare).otherwise("").alias("bare"), s.alias("text")]
 
 
+def sort_key(s: Column) -> Column:
+    """The same order as one string, compared by its bytes; id_of() gives the id back."""
+    bare = F.regexp_replace(s, "^0+", "")
+    return F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("0"), F.lpad(F.length(bare).cast("string"), 10, "0"), bare, s)).otherwise(F.concat(F.lit("1"), s))
+
+
+def id_of(key: Column) -> Column:
+    """The id of a sort key."""
+    skip = F.when(key.startswith("0"), F.substring(key, 2, 10).cast("int") + 12).otherwise(F.lit(2))
+    return key.substr(skip, F.length(key))
+
+
 def app_code(app: Column) -> Column:
     """1000 to 9999 from the app's md5."""
     return (1000 + F.pmod(F.conv(F.substring(F.md5(app), 1, 8), 16, 10).cast("bigint"), F.lit(9000))).cast("bigint")

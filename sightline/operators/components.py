@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,14 +10,27 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """End a lineage with a table in the folder that the cluster names in spark.checkpoint.dir."""
+    """End a lineage with a table in the folder that the cluster names in spark.checkpoint.dir; a folder of our own
+    only where the session names none and is a single machine. The table goes when the session ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone already; the files are then the cluster's to clear
+        pass
+
+
 def components(links: DataFrame, end_lineage=cut) -> DataFrame:
     """node, component (its least node) of the nodes that links (a, b) touch. Neighbours are never gathered:
     minima are aggregated and join back, and every round is cut."""

@@ -2,79 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.ids import order_columns, order_key
-
+from sightline.functions.ids import id_of, sort_key
+from sightline.operators.components import cut
 
 #: Of each node's reports so many bound what a hop may keep.
 PROBE = 4
 
 
-def _first_reports(node_report: DataFrame, r_max: int) -> DataFrame:
-    """Each node's first r_max reports in id order, with their key and place: a later one can't survive a hop's truncation."""
-    place = F.row_number().over(Window.partitionBy("node_id").orderBy(*order_columns(F.col("report_id"))))
-    return node_report.select("node_id", "report_id", order_key(F.col("report_id")).alias("key"), place.alias("place")).where(F.col("place") <= r_max)
+def first_reports(node_report: DataFrame, most: int) -> DataFrame:
+    """node_id, keys: each node's first reports in id order, as sort keys; a later one can't survive a hop's truncation.
+    A hub is cut to its first ones before its rows are shuffled, as the window has a limit."""
+    rows = node_report.select("node_id", sort_key(F.col("report_id")).alias("key"))
+    place = F.row_number().over(Window.partitionBy("node_id").orderBy("key"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).groupBy("node_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
-def _reached(touched: DataFrame, near: DataFrame, r_max: int) -> DataFrame:
-    """seed, report_id of the touched nodes' reports, less those that can't be among a seed's first r_max + 1.
+def _smallest(arrays: Column, most: int) -> Column:
+    """The smallest distinct keys of collected arrays."""
+    return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(arrays)))), 1, most)
 
-    The nodes' first PROBE reports alone give a seed r_max + 1 distinct ones or not; if they do, the last of
-    these bounds what the truncation can keep, and the join drops later reports before they are shuffled."""
-    few = touched.join(near.where(F.col("place") <= PROBE), "node_id").select("seed", "key").distinct()
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("key"))
-    bound = few.select("seed", F.col("key").alias("bound"), place.alias("n")).where(F.col("n") == r_max + 1).drop("n")
-    rows = touched.join(bound, "seed", "left").join(near, "node_id")
-    return rows.where(F.col("bound").isNull() | (F.col("key") <= F.col("bound"))).select("seed", "report_id").distinct()
 
+def _reached(touched: DataFrame, near: DataFrame, most: int) -> DataFrame:
+    """seed, found: the first reports of the touched nodes, not below what a truncation to most can keep.
 
-def _truncated(reports: DataFrame, r_max: int) -> tuple[DataFrame, DataFrame]:
-    """The first r_max reports of each seed by depth and id, and the seeds that had more. Both, and the next hop,
-    come from these few rows, so they are persisted."""
-    place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", *order_columns(F.col("report_id"))))
-    numbered = reports.withColumn("place", place).where(F.col("place") <= r_max + 1).persist()
-    return numbered.where(F.col("place") <= r_max).drop("place"), numbered.where(F.col("place") == r_max + 1).select("seed")
+    The nodes' first PROBE reports alone give a seed most + 1 distinct ones or not; if they do, the last of these
+    bounds what the truncation can keep, and later reports leave their arrays before these are gathered."""
+    few = touched.join(near.select("node_id", F.slice("keys", 1, PROBE).alias("few")), "node_id")
+    bound = few.groupBy("seed").agg(F.get(_smallest(F.col("few"), most), F.lit(most - 1)).alias("bound"))
+    rows = touched.join(near, "node_id").join(bound, "seed")
+    return rows.groupBy("seed").agg(_smallest(F.when(F.col("bound").isNull(), F.col("keys")).otherwise(F.filter("keys", lambda k: k <= F.col("bound"))), most).alias("found"))
 
 
 def expand(seeds: DataFrame, node_report: DataFrame, hops: int = 1, r_max: int = 100, v_max: int = 2000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reports: seed, report_id, depth), (nodes: seed, node_id), (status: seed, hop, stopped_reason).
 
-    Strict: a seed that reaches more than r_max reports keeps the nearest, ties by id, and stops there.
-    The hops are unrolled into one plan; a stopped seed leaves it. What is persisted of a
-    hop is computed again if an executor with it is lost.
+    Strict: a seed that reaches more than r_max reports keeps the nearest, ties by id, and stops there. A seed is one
+    row with the sorted array of its reports, so a hop gathers short arrays and never makes a row for each report
+    that a node has; every hop's rows are written once.
     """
-    first = seeds.join(node_report.withColumnRenamed("node_id", "seed"), "seed").select("seed", "report_id", F.lit(0).alias("depth"))
-    reports, over = _truncated(first, r_max)
-    over = over.withColumn("stopped_reason", F.lit("r-max-truncated-initial")).withColumn("hop", F.lit(0))
-    none = seeds.join(first.select("seed").distinct(), "seed", "left_anti").select("seed", F.lit("seed-has-no-reports").alias("stopped_reason"), F.lit(0).alias("hop"))
-    status = over.unionByName(none)
-    near = _first_reports(node_report, r_max + 1)
-    done = None
-    live = reports.join(over.select("seed"), "seed", "left_anti")
-    halted = reports.join(over.select("seed"), "seed", "left_semi")
+    near = cut(first_reports(node_report, r_max + 1), "near")
+    by_report = node_report.groupBy(sort_key(F.col("report_id")).alias("key")).agg(F.collect_set("node_id").alias("nodes"))
+    first = seeds.select("seed").join(near.withColumnRenamed("node_id", "seed"), "seed", "left")
+    reason = F.when(F.col("keys").isNull(), "seed-has-no-reports").when(F.size("keys") > r_max, "r-max-truncated-initial")
+    own = F.coalesce(F.slice("keys", 1, r_max), F.array().cast("array<string>"))
+    state = first.select("seed", own.alias("keys"), reason.alias("reason"), F.lit(0).alias("hop")).withColumn("depths", F.transform("keys", lambda _: F.lit(0)))
     for hop in range(1, hops + 1):
-        touched = live.join(node_report, "report_id").select("seed", "node_id").distinct()
-        reached = _reached(touched, near, r_max).select("seed", "report_id", F.lit(hop).alias("depth"))
-        grown = live.unionByName(reached).groupBy("seed", "report_id").agg(F.min("depth").alias("depth"))
-        kept, over = _truncated(grown, r_max)
-        over = over.select("seed", F.lit("r-max-truncated").alias("stopped_reason"), F.lit(hop).alias("hop"))
-        flags = kept.join(over.select("seed", F.lit(True).alias("cut")), "seed", "left")
-        flags = flags.withColumn("grew", F.max(F.col("depth") == hop).over(Window.partitionBy("seed")))
-        still = flags.where("cut IS NULL AND NOT grew").select("seed").distinct().select("seed", F.lit("no-growth").alias("stopped_reason"), F.lit(hop).alias("hop"))
-        sizes = touched.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= v_max) if v_max > 0 else None
-        stop = over.unionByName(still)
-        if sizes is not None:
-            stop = stop.unionByName(sizes.join(stop, "seed", "left_anti").select("seed", F.lit("v-max").alias("stopped_reason"), F.lit(hop).alias("hop")))
-        status = status.unionByName(stop)
-        halted = halted.unionByName(kept.join(stop, "seed", "left_semi"))
-        live = kept.join(stop, "seed", "left_anti")
-        done = hop
-    reports = halted.unionByName(live)
-    status = status.unionByName(live.select("seed").distinct().select("seed", F.lit("k-reached").alias("stopped_reason"), F.lit(done or 0).alias("hop")))
-    nodes = reports.join(node_report, "report_id").select("seed", "node_id").unionByName(seeds.select("seed", F.col("seed").alias("node_id"))).distinct()
-    return reports, nodes, status
+        state = cut(state, f"hop_{hop}")
+        live = state.where("reason IS NULL").select("seed", F.explode("keys").alias("key"))
+        sets = live.join(by_report, "key").groupBy("seed").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes"))
+        sets = cut(sets, "touched")
+        touched = sets.select("seed", F.explode("nodes").alias("node_id"))
+        grown = sets.select("seed", F.size("nodes").alias("n_nodes")).join(_reached(touched, near, 2 * r_max + 1), "seed", "left")
+        rows = state.where("reason IS NULL").join(grown, "seed", "left").withColumn("new", F.array_except(F.coalesce("found", F.array().cast("array<string>")), "keys"))
+        keys = F.slice(F.concat("keys", "new"), 1, r_max)
+        over, grew = F.size("keys") + F.size("new") > r_max, F.size(keys) > F.size("keys")
+        full = F.lit(v_max > 0) & (F.coalesce("n_nodes", F.lit(0)) >= v_max)
+        why = F.when(over, "r-max-truncated").when(~grew, "no-growth").when(full, "v-max")
+        depths = F.concat("depths", F.transform(F.slice("new", 1, F.greatest(F.size(keys) - F.size("keys"), F.lit(0))), lambda _: F.lit(hop)))
+        state = state.where("reason IS NOT NULL").unionByName(rows.select("seed", keys.alias("keys"), why.alias("reason"), F.lit(hop).alias("hop"), depths.alias("depths")))
+    state = cut(state, "expanded")
+    reports = state.select("seed", F.explode(F.arrays_zip("keys", "depths")).alias("r")).select("seed", id_of(F.col("r.keys")).alias("report_id"), F.col("r.depths").alias("depth"))
+    sets = state.select("seed", F.explode("keys").alias("key")).join(by_report, "key").groupBy("seed").agg(F.flatten(F.collect_list("nodes")).alias("nodes"))
+    nodes = seeds.select("seed").join(sets, "seed", "left").select("seed", F.explode(F.array_distinct(F.concat(F.coalesce("nodes", F.array().cast("array<string>")), F.array("seed")))).alias("node_id"))
+    return reports, nodes, state.select("seed", F.coalesce("reason", F.lit("k-reached")).alias("stopped_reason"), "hop")
 
 
 def ball(starts: DataFrame, links: DataFrame, radius: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.operators import components as cc
+from sightline.operators import cover as co
 from sightline.operators import curves as cv
 from sightline.operators import graph as g
 from sightline.operators import metrics as mt
@@ -26,30 +27,34 @@ def query(sql: str | None = None):
     return add
 
 
-def _candidates(spark, sf):
-    return se.candidates(gq._items(spark, sf, fx.few_seeds), gq._costs(spark, sf, fx.few_seeds))
-
-
-STEPS = 4
+K = 50
 
 
 def _greedy_sql(steps: int) -> str:
-    """The first steps of the greedy cover, unrolled."""
-    out, covered = gq.FEW_ITEMS, ""
+    """The greedy cover of every view, step by step: what is left of the items, the best view, what it leaves."""
+    out = gq.ITEMS + """, sid AS MATERIALIZED (SELECT seed, cost, row_number() OVER (ORDER BY seed) AS s FROM costs), nid AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY node_id) AS n FROM (SELECT DISTINCT node_id FROM items)),
+        l1 AS MATERIALIZED (SELECT s, n FROM items JOIN sid USING (seed) JOIN nid USING (node_id))"""
     for k in range(1, steps + 1):
-        left = f"SELECT * FROM items WHERE node_id NOT IN (SELECT node_id FROM items WHERE seed IN ({covered}))" if covered else "SELECT * FROM items"
-        out += f""", s{k} AS (SELECT {k} AS step, seed, gain, CAST(cost AS DOUBLE) AS cost FROM (SELECT seed, count(*) AS gain FROM ({left}) GROUP BY seed) JOIN costs USING (seed)
-        ORDER BY round(gain / greatest(CAST(cost AS DOUBLE), 1e-9), 9) DESC, gain DESC, seed LIMIT 1)"""
-        covered = " UNION ALL ".join(f"SELECT seed FROM s{i}" for i in range(1, k + 1))
-    return out
+        out += f""", s{k} AS MATERIALIZED (SELECT {k} AS step, s, seed, gain, CAST(cost AS DOUBLE) AS cost FROM (SELECT s, count(*) AS gain FROM l{k} GROUP BY s) JOIN sid USING (s)
+        ORDER BY round(gain / greatest(CAST(cost AS DOUBLE), 1e-9), 9) DESC, gain DESC, seed LIMIT 1),
+        l{k + 1} AS MATERIALIZED (SELECT s, n FROM l{k} ANTI JOIN (SELECT n FROM l{k} WHERE s = (SELECT s FROM s{k})) USING (n))"""
+    return out + ", picked AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT step, seed, gain, cost FROM s{i}" for i in range(1, steps + 1)) + ")"
+
+
+#: The first steps by joins alone.
+FEW_STEPS = 4
+PICKED = _greedy_sql(K)
 
 
-CHOSEN = _greedy_sql(STEPS)
-PICKED = CHOSEN + ", picked AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, STEPS + 1)) + ")"
+def _cover(spark, sf, name, items=None, **how):
+    """A cover over every part as a seed, to its real end: full coverage, the budget or K."""
+    make = lambda: co.cover(items or gq._items(spark, sf).withColumnRenamed("node_id", "item"), gq._costs(spark, sf), most=K, **how)
+    return fx.built(spark, sf, f"cover_{name}", make)
 
 
 def _picked(spark, sf):
-    return se.select(_candidates(spark, sf), STEPS)
+    steps = _cover(spark, sf, "greedy").select("step", "seed", F.col("gain").cast("long").alias("gain"), "score", "cost")
+    return steps.select(F.lit("all").alias("problem"), "*")
 
 
 @query(PICKED + " SELECT step, seed, gain, round(cost, 6) AS cost FROM picked")
@@ -57,24 +62,32 @@ def cover_greedy(spark, sf):
     return _picked(spark, sf).select("step", "seed", "gain", F.round("cost", 6).alias("cost"))
 
 
-@query(PICKED + " SELECT step, seed, gain, round(cost, 6) AS cost FROM picked")
+@query(_greedy_sql(FEW_STEPS) + " SELECT step, seed, gain, round(cost, 6) AS cost FROM picked")
 def cover_greedy_joins(spark, sf):
-    return se.exact_greedy_sql_steps(gq._items(spark, sf, fx.few_seeds), gq._costs(spark, sf, fx.few_seeds), STEPS).select("step", "seed", "gain", F.round("cost", 6).alias("cost"))
+    return se.exact_greedy_sql_steps(gq._items(spark, sf), gq._costs(spark, sf), FEW_STEPS).select("step", "seed", "gain", F.round("cost", 6).alias("cost"))
 
 
 @query()
 def cover_annealed(spark, sf):
-    return se.select(_candidates(spark, sf), 20, gain_power=1.2, cost_power=(1.8, 0.6), fixed=1.0)
+    return co.trace(_cover(spark, sf, "annealed", gain_power=1.2, cost_power=(1.8, 1.0), fixed=1.0))
+
+
+@query()
+def cover_hybrid(spark, sf):
+    """Entities and reports count, the exponent of the cost falls, and a shadow list goes on beyond the budget."""
+    entities = gq._items(spark, sf).select("seed", F.lit("entity").alias("kind"), F.col("node_id").alias("item"))
+    reports = gq._expanded(spark, sf)[0].select("seed", F.lit("report").alias("kind"), F.col("report_id").alias("item"))
+    return co.trace(_cover(spark, sf, "hybrid", entities.unionByName(reports), objective="hybrid", budget=BUDGET, shadow=True, cost_power=(1.8, 1.0)))
 
 
 @query()
 def cover_budget(spark, sf):
-    return se.select(_candidates(spark, sf), 50, budget=1000.0)
+    return co.trace(_cover(spark, sf, "budget", budget=BUDGET))
 
 
 @query()
 def cover_gain_only(spark, sf):
-    return se.select(_candidates(spark, sf), 50, budget=1000.0, gain_only=True)
+    return co.trace(_cover(spark, sf, "gain_only", budget=BUDGET, unit_cost=True))
 
 
 BUDGET = 1000.0
@@ -102,13 +115,13 @@ def capped_views(spark, sf):
     return se.capped(gq._costs(spark, sf), n, 0.002).select("seed", "n_reports", "cost")
 
 
-CURVE = PICKED + """, f AS (SELECT node_id, min(step) AS k FROM picked JOIN items USING (seed) GROUP BY node_id), u AS (SELECT count(*) AS n FROM node_types WHERE type IN ('PHEN', 'DIAG', 'ISSUE')),
-curve AS (SELECT k, count(node_id) AS covered, round(count(node_id) / max(n), 6) AS coverage FROM (SELECT unnest(range(1, 11)) AS k) g CROSS JOIN u LEFT JOIN (SELECT node_id, k AS first FROM f) ON first <= k GROUP BY k)"""
+CURVE = PICKED + f""", f AS (SELECT node_id, min(step) AS k FROM picked JOIN items USING (seed) GROUP BY node_id), u AS (SELECT count(*) AS n FROM node_types WHERE type IN ('PHEN', 'DIAG', 'ISSUE')),
+curve AS (SELECT k, count(node_id) AS covered, round(count(node_id) / max(n), 6) AS coverage FROM (SELECT unnest(range(1, {K} + 1)) AS k) g CROSS JOIN u LEFT JOIN (SELECT node_id, k AS first FROM f) ON first <= k GROUP BY k)"""
 
 
 def _curve(spark, sf):
     universe = fx.node_types(spark, sf).where("type IN ('PHEN', 'DIAG', 'ISSUE')").agg(F.count("*").alias("n"))
-    return cv.coverage(_picked(spark, sf), gq._items(spark, sf, fx.few_seeds), universe, 10)
+    return cv.coverage(_picked(spark, sf), gq._items(spark, sf), universe, K)
 
 
 @query(CURVE + " SELECT 'all' AS problem, k, covered, coverage FROM curve")
@@ -121,7 +134,7 @@ def curve_auc(spark, sf):
     return cv.auc(_curve(spark, sf))
 
 
-COSTCURVE = PICKED + """, universe AS (SELECT greatest(count(*), 1) AS n FROM node_types WHERE type IN ('PHEN', 'DIAG', 'ISSUE')), cc AS (SELECT step, round(sum(cost) OVER w, 6) AS cum_cost, round(least(1, sum(cost) OVER w / 300), 6) AS rho, round(sum(gain) OVER w / (SELECT n FROM universe), 6) AS coverage FROM picked WINDOW w AS (ORDER BY step))"""
+COSTCURVE = PICKED + f""", universe AS (SELECT greatest(count(*), 1) AS n FROM node_types WHERE type IN ('PHEN', 'DIAG', 'ISSUE')), cc AS (SELECT step, round(sum(cost) OVER w, 6) AS cum_cost, round(least(1, sum(cost) OVER w / 300), 6) AS rho, round(sum(gain) OVER w / (SELECT n FROM universe), 6) AS coverage FROM picked WINDOW w AS (ORDER BY step))"""
 
 
 def _cost_curve(spark, sf):
@@ -146,33 +159,9 @@ def curve_budget_end(spark, sf):
     return cv.budget_end(_cost_curve(spark, sf), 300.0)
 
 
-def _sized_cost_curve(spark, sf):
-    return _cost_curve(spark, sf)
-
-
 @query()
 def curve_interpolated(spark, sf):
-    return cv.on_grid(_sized_cost_curve(spark, sf), 11)
-
-
-@query()
-def curve_cost_sized(spark, sf):
-    return _sized_cost_curve(spark, sf)
-
-
-@query()
-def curve_cost_auc_sized(spark, sf):
-    return cv.cost_auc(_sized_cost_curve(spark, sf))
-
-
-@query()
-def curve_plateau_sized(spark, sf):
-    return cv.plateau(_sized_cost_curve(spark, sf))
-
-
-@query()
-def curve_long_sized(spark, sf):
-    return cv.long_form(_sized_cost_curve(spark, sf).select("problem", "step", "rho", "coverage"), ["problem", "step"], ["rho", "coverage"])
+    return cv.on_grid(_cost_curve(spark, sf), 11)
 
 
 @query(COSTCURVE + " SELECT 'all' AS problem, rho, max(coverage) AS coverage FROM cc GROUP BY rho")
@@ -201,10 +190,6 @@ def _runs(spark, sf):
     return li.groupBy(F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 5).alias("run")).agg((F.countDistinct("l_partkey") / parts).alias("coverage"))
 
 
-def _sized_runs(spark, sf):
-    return _runs(spark, sf)
-
-
 @query(f"WITH {RUNS}, b AS (SELECT k, round(avg(coverage), 6) AS mean, round(stddev_pop(coverage), 6) AS std FROM runs GROUP BY k) SELECT *, max(mean) OVER (ORDER BY k) AS envelope FROM b")
 def run_bands(spark, sf):
     return cv.run_bands(_runs(spark, sf))
@@ -222,16 +207,6 @@ def _across(runs):
     return cv.across(rows, "method", "v", "m0")
 
 
-@query()
-def run_bands_sized(spark, sf):
-    return cv.run_bands(_sized_runs(spark, sf))
-
-
-@query()
-def across_apps_sized(spark, sf):
-    return _across(_sized_runs(spark, sf))
-
-
 @query()
 def merge_signature(spark, sf):
     return se.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), threshold=0.2)

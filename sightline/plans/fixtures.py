@@ -5,9 +5,23 @@ Each adapter has the same content as SQL, for the oracles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.components import cut
+
+_BUILT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def built(spark, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session start from, written once under the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, str(sf_dir), name)
+    if key not in _BUILT:
+        _BUILT[key] = cut(make(), name)
+    return _BUILT[key]
+
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

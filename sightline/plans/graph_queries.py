@@ -232,7 +232,15 @@ EXPAND, FEW = FACTS + ", " + fx.SEEDS_SQL + _EXPAND, FACTS + ", " + fx.FEW_SEEDS
 
 
 def _expanded(spark, sf, seeds=fx.seeds):
-    return ex.expand(seeds(spark, sf), fx.bridge(spark, sf), 1, RMAX)
+    """Reports, nodes and status of each seed's expansion: three tables, from one run."""
+    names, made = [f"{seeds.__name__}_{kind}" for kind in ("reports", "nodes", "status")], []
+
+    def make(i):
+        if not made:
+            made.extend(ex.expand(seeds(spark, sf), fx.bridge(spark, sf), 1, RMAX))
+        return made[i]
+
+    return tuple(fx.built(spark, sf, name, lambda i=i: make(i)) for i, name in enumerate(names))
 
 
 @query(EXPAND + " SELECT seed, report_id, depth FROM reports")
@@ -307,12 +315,16 @@ ITEMS, FEW_ITEMS = COSTS + _ITEMS, FEW_COSTS + _ITEMS
 
 
 def _costs(spark, sf, seeds=fx.seeds):
-    reports, nodes, _ = _expanded(spark, sf, seeds)
-    return v.view_costs(reports, nodes, fx.edge_rows(spark, sf).select("report_id"))
+    def make():
+        reports, nodes, _ = _expanded(spark, sf, seeds)
+        return v.view_costs(reports, nodes, fx.edge_rows(spark, sf).select("report_id"))
+
+    return fx.built(spark, sf, f"{seeds.__name__}_costs", make)
 
 
 def _items(spark, sf, seeds=fx.seeds):
-    return v.covered(_expanded(spark, sf, seeds)[1], fx.node_types(spark, sf), UNIVERSE)
+    make = lambda: v.covered(_expanded(spark, sf, seeds)[1], fx.node_types(spark, sf), UNIVERSE)
+    return fx.built(spark, sf, f"{seeds.__name__}_items", make)
 
 
 @query(COSTS + " SELECT seed, n_reports, n_nodes, n_edges, CAST(cost AS DOUBLE) AS cost FROM costs")
@@ -351,18 +363,18 @@ def top_overlap_pairs(spark, sf):
     return v.jaccard_pairs(_items(spark, sf, fx.few_seeds)).orderBy(F.desc("jaccard"), "a", "b").limit(20)
 
 
-@query(FEW_ITEMS + """, chosen AS (SELECT seed FROM costs ORDER BY cost DESC, seed LIMIT 10), hit AS (SELECT DISTINCT node_id FROM items JOIN chosen USING (seed)),
+@query(ITEMS + """, chosen AS (SELECT seed FROM costs ORDER BY cost DESC, seed LIMIT 10), hit AS (SELECT DISTINCT node_id FROM items JOIN chosen USING (seed)),
 m AS (SELECT node_id, seed, cost, row_number() OVER (PARTITION BY node_id ORDER BY cost, seed) AS place FROM items JOIN costs USING (seed) WHERE node_id NOT IN (SELECT node_id FROM hit))
 SELECT node_id, count(*) AS n_candidates, min(seed) FILTER (place = 1) AS cheapest, CAST(min(cost) AS DOUBLE) AS cheapest_cost, string_agg(seed, '|' ORDER BY place) FILTER (place <= 5) AS top_views FROM m GROUP BY node_id""")
 def missed_nodes(spark, sf):
-    costs = _costs(spark, sf, fx.few_seeds)
-    return v.missed(_items(spark, sf, fx.few_seeds), costs, costs.orderBy(F.desc("cost"), "seed").limit(10).select("seed"))
+    costs = _costs(spark, sf)
+    return v.missed(_items(spark, sf), costs, costs.orderBy(F.desc("cost"), "seed").limit(10).select("seed"))
 
 
-@query(FEW_ITEMS + """, chosen AS (SELECT seed FROM costs ORDER BY cost DESC, seed LIMIT 10) SELECT node_id, CASE WHEN node_id IN (SELECT node_id FROM items JOIN chosen USING (seed)) THEN 'covered'
+@query(ITEMS + """, chosen AS (SELECT seed FROM costs ORDER BY cost DESC, seed LIMIT 10) SELECT node_id, CASE WHEN node_id IN (SELECT node_id FROM items JOIN chosen USING (seed)) THEN 'covered'
 WHEN node_id IN (SELECT node_id FROM items) THEN 'missed' ELSE 'unreachable' END AS state FROM node_types WHERE type IN ('PHEN', 'DIAG', 'ISSUE')""")
 def universe_reachability(spark, sf):
-    items, costs = _items(spark, sf, fx.few_seeds), _costs(spark, sf, fx.few_seeds)
+    items, costs = _items(spark, sf), _costs(spark, sf)
     chosen = costs.orderBy(F.desc("cost"), "seed").limit(10).select("seed")
     universe = fx.node_types(spark, sf).where(F.col("type").isin(*UNIVERSE)).select("node_id")
     return v.reachability(universe, items, items.join(chosen, "seed", "left_semi"))

@@ -142,12 +142,8 @@ def test_sizes_come_from_the_tables(spark):
     for t, n in counts.items():
         assert sum(r["n"] for r in groups if r["type"] == t) == n
     gain = sum(r["gain"] for r in aq.cover_greedy(spark, sf).collect())
-    for curve in (aq.curve_interpolated(spark, sf), aq.curve_cost_sized(spark, sf), aq.curve_plateau_sized(spark, sf)):
+    for curve in (aq.curve_interpolated(spark, sf), aq.curve_cost(spark, sf), aq.curve_plateau(spark, sf)):
         assert abs(max(r["coverage"] for r in curve.collect()) - gain / universe) < 1e-5
-    for old, new in ((aq.run_bands, aq.run_bands_sized), (aq.across_apps, aq.across_apps_sized)):
-        column = "mean" if old is aq.run_bands else "median"
-        got, was = (max(r[column] for r in f(spark, sf).collect()) for f in (new, old))
-        assert abs(got - was * 2000 / parts) < 1e-4
 
 
 def test_every_vector_is_clustered(spark):
