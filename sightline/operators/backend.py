@@ -43,6 +43,19 @@ class RuleBackend:
         a, b = (set(item[k].lower().split()) for k in ("a", "b"))
         return "通过" if a & b else "否决"
 
+    def pairs(self, item: dict) -> list[dict]:
+        """Members of which half of the words are shared."""
+        words = [(m, set(m.lower().split())) for m in item["members"]]
+        scored = ((a, b, len(x & y) / len(x | y)) for i, (a, x) in enumerate(words) for b, y in words[i + 1 :] if x | y)
+        return [{"a": a, "b": b, "score": s} for a, b, s in scored if s >= 0.5]
+
+    def merges(self, item: dict) -> list[list[str]]:
+        """Members whose concepts have the same first two words."""
+        out: dict[str, list[str]] = {}
+        for member, concept in zip(item["members"], item["concepts"], strict=True):
+            out.setdefault(" ".join(concept.lower().split()[:2]), []).append(str(member))
+        return [group for group in out.values() if len(group) > 1]
+
     def summary(self, item: dict) -> str:
         return " / ".join(sorted(item["members"])[:8])
 

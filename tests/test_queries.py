@@ -8,7 +8,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PARTS = __spark_entry__._parts()[:4]
+PARTS = [p for p in __spark_entry__._parts() if p.__name__.startswith("sightline.plans")]
 QUERIES = {k: f for p in PARTS for k, f in p.QUERIES.items()}
 ORACLES = {k: q for p in PARTS for k, q in p.ORACLES.items()}
 
