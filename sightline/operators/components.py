@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where the session names none and
+    is a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """End a lineage with a table in the folder that the cluster names in spark.checkpoint.dir; a folder of our own
-    only where the session names none and is a single machine. The table goes when the session ends."""
+    """End a lineage with a table in the shared folder; it goes when the session ends."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = base or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sightline.operators import backend as be
 from sightline.operators import evaluate as ev
 from sightline.operators import filters as fl
+from sightline.operators import index as ix
 from sightline.operators import metrics as mt
 from sightline.operators import paths as pt
 from sightline.operators import retrieve as rt
@@ -82,7 +83,62 @@ def _rankings(spark, sf):
     scores = _scores(spark, sf)
     near = _near(spark, sf).where("rank <= 3")
     multi = vc.ranked(rt.within_clusters(scores, fx.vectors(spark, sf), near), 200)
-    return {"global": vc.ranked(scores, 200), "multi": multi, "graph": vc.ranked(scores.where("CAST(doc_id AS BIGINT) % 3 = 0"), 200)}
+    return {"global": vc.ranked(scores, 200), "multi": multi, "graph": _graph(spark, sf)}
+
+
+#: The graph's rankings: every part's view, the 20 that hold most anchors, every 50th report as a query.
+FOUND = """, anchors AS (SELECT report_id AS query_id, node_id FROM bridge WHERE CAST(report_id AS BIGINT) % 50 = 0),
+hits AS (SELECT query_id, seed, count(*) AS hits, min(cost) AS cost FROM anchors JOIN nodes USING (node_id) JOIN costs USING (seed) GROUP BY ALL),
+used AS (SELECT query_id, seed FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, {tie} seed) <= {views}),
+feat AS (SELECT query_id, report_id AS doc_id, count(*) AS support, CAST(round(min(cost), 6) AS DOUBLE) AS min_cost FROM used JOIN reports USING (seed) JOIN costs USING (seed) WHERE query_id <> report_id GROUP BY ALL),
+sh AS (SELECT f.query_id, f.doc_id, count(*) AS shared FROM feat f JOIN bridge b ON b.report_id = f.doc_id JOIN anchors a ON a.query_id = f.query_id AND a.node_id = b.node_id GROUP BY ALL),
+found0 AS (SELECT query_id, doc_id, support, min_cost, coalesce(shared, 0) AS shared, round(CAST(support AS DOUBLE) + {weight} * coalesce(shared, 0), 6) AS score FROM feat LEFT JOIN sh USING (query_id, doc_id)),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, doc_id) AS rank FROM found0)"""
+LEGACY = FOUND.format(tie="", views=20, weight=0.5, order="score DESC, min_cost")
+HEAD = FOUND.format(tie="cost,", views=12, weight=1.8, order="round(score / (min_cost + 1e-9), 9) DESC, score DESC, min_cost")
+
+
+def _index(spark, sf):
+    key = (spark.sparkContext.applicationId, str(sf))
+    if key not in _INDEXES:
+        reports, nodes, _ = gq._expanded(spark, sf)
+        _INDEXES[key] = ix.build(nodes, reports, gq._costs(spark, sf), fx.bridge(spark, sf))
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], ix.Index] = {}
+
+
+def _anchors(spark, sf):
+    return fx.bridge(spark, sf).where("CAST(report_id AS BIGINT) % 50 = 0").select(F.col("report_id").alias("query_id"), "node_id")
+
+
+def _legacy(spark, sf):
+    return fx.built(spark, sf, "legacy", lambda: ix.retrieve(_index(spark, sf), _anchors(spark, sf)))
+
+
+def _graph(spark, sf):
+    """The graph's ranking among the reports that have a vector."""
+    ids = fx.vectors(spark, sf).select("app", F.col("id").alias("doc_id"))
+    rows = _legacy(spark, sf).join(ids, "doc_id").join(ids.select(F.col("doc_id").alias("query_id")), "query_id")
+    place = F.row_number().over(rt.by_query("rank"))
+    return rows.select("app", "query_id", "doc_id", place.alias("rank"), "score")
+
+
+@query(gq.COSTS + LEGACY + " SELECT query_id, doc_id, support, shared, min_cost, score, rank FROM found WHERE rank <= 50")
+def graph_retrieve_legacy(spark, sf):
+    return _legacy(spark, sf).where("rank <= 50").select("query_id", "doc_id", "support", "shared", "min_cost", "score", F.col("rank").cast("long").alias("rank"))
+
+
+SIMS = """, sims AS (SELECT f.query_id, f.doc_id, round(list_inner_product(a.vector, b.vector), 6) AS sim FROM found f JOIN vectors a ON a.id = f.query_id JOIN vectors b ON b.id = f.doc_id)"""
+
+
+@query(gq.COSTS + LEGACY + ", " + fx.VECTORS_SQL + SIMS + """, m AS (SELECT f.*, CASE WHEN rank <= 300 THEN sim END AS s FROM found f LEFT JOIN sims USING (query_id, doc_id))
+SELECT query_id, doc_id, s AS sim, score, row_number() OVER (PARTITION BY query_id ORDER BY s IS NULL, CASE WHEN s IS NULL THEN rank ELSE 0 END, s DESC, score DESC, min_cost, doc_id) AS rank FROM m""")
+def graph_refine_legacy(spark, sf):
+    found = _legacy(spark, sf)
+    rows = ix.refined(found, ix.similarities(found, fx.vectors(spark, sf)), most=300)
+    return rows.select("query_id", "doc_id", "sim", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {SCORES} SELECT app, query_id, doc_id, rank, score FROM glo WHERE rank <= 200")
@@ -105,7 +161,7 @@ def multi_cluster_topl(spark, sf):
     return _rankings(spark, sf)["multi"]
 
 
-FUSED = f"""WITH {SCORES}{UNNESTED}, gr AS (SELECT app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores WHERE CAST(doc_id AS BIGINT) % 3 = 0),
+FUSED = (gq.COSTS + LEGACY).replace("{", "{{").replace("}", "}}") + f""", {SCORES}{UNNESTED}, gr AS (SELECT 'emb' AS app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM found WHERE query_id IN (SELECT id FROM vectors) AND doc_id IN (SELECT id FROM vectors)),
 src AS (SELECT app, query_id, doc_id, {{0}} / (rank + 4) AS w, 1 AS bit FROM glo WHERE rank <= 120 UNION ALL SELECT app, query_id, doc_id, {{1}} / (rank + 4), 2 FROM multi WHERE rank <= {{2}} UNION ALL SELECT app, query_id, doc_id, {{3}} / (rank + 2), 4 FROM gr WHERE rank <= {{4}}),
 fu AS (SELECT app, query_id, doc_id, sum(w) AS w, bit_count(bit_or(bit)) AS n_sources, bit_or(bit) AS bits FROM src GROUP BY ALL)"""
 
@@ -147,11 +203,15 @@ def graph_retrieve(spark, sf):
     return rt.graph_ranking(anchors, nodes, reports.select("seed", "report_id"), gq._costs(spark, sf, fx.few_seeds), fx.bridge(spark, sf), most=20)
 
 
-@query()
+@query(gq.COSTS + HEAD + ", " + fx.VECTORS_SQL + """, few AS (SELECT * FROM found WHERE rank <= 160)""" + SIMS.replace("FROM found f", "FROM few f") + """, m AS (SELECT f.*, sim FROM few f LEFT JOIN sims USING (query_id, doc_id)),
+z AS (SELECT *, coalesce(support / nullif(max(support) OVER w, 0), 0) AS su, coalesce(shared / nullif(max(shared) OVER w, 0), 0) AS sd, 1 - CASE WHEN max(min_cost) OVER w - min(min_cost) OVER w <= 1e-12 THEN 0 ELSE (min_cost - min(min_cost) OVER w) / (max(min_cost) OVER w - min(min_cost) OVER w) END AS ch
+FROM m WINDOW w AS (PARTITION BY query_id, sim IS NULL)), y AS (SELECT *, round(0.44 * sim + 0.24 * su + 0.24 * sd + 0.08 * ch, 6) AS final FROM z)
+SELECT query_id, doc_id, sim, final, row_number() OVER (PARTITION BY query_id ORDER BY sim IS NULL, CASE WHEN sim IS NULL THEN rank ELSE 0 END, final DESC, sim DESC, shared DESC, support DESC, min_cost, doc_id) AS rank FROM y""")
 def graph_refine(spark, sf):
-    scores = _scores(spark, sf)
-    found = vc.ranked(scores, 100).select("app", "query_id", "doc_id", (F.col("rank") % 5 + 1).alias("support"), (F.col("rank") % 3).alias("shared"), (F.col("rank") % 7 + 1.0).alias("min_cost"))
-    return rt.refined(found, vc.ranked(scores, 100), 20)
+    how = ix.PRESETS["aggressive"]
+    found = ix.retrieve(_index(spark, sf), _anchors(spark, sf), "hybrid", how["top_views"], how["weight"], how["cap"], cheap_first=True)
+    rows = ix.refined(found, ix.similarities(found, fx.vectors(spark, sf)), how["weights"])
+    return rows.select("query_id", "doc_id", "sim", "final", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
