@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.operators import components as cc
+from sightline.operators import compress as cm
 from sightline.operators import cover as co
 from sightline.operators import curves as cv
 from sightline.operators import graph as g
@@ -219,7 +220,10 @@ def merge_report(spark, sf):
 
 @query()
 def merge_compress(spark, sf):
-    return se.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), threshold=0.2, empty_both=0.0, passes=False)
+    """Every part's view, united with those alike, its nodes and edges those of the united reports."""
+    reports, nodes, _ = gq._expanded(spark, sf)
+    groups = cm.compressed_groups(nodes.join(fx.node_types(spark, sf), "node_id"), reports, threshold=0.35, symptoms=0.35, max_reports=2000)
+    return cm.reinduced(groups, reports.select("seed", "report_id"), fx.bridge(spark, sf), fx.edge_rows(spark, sf).select("report_id"), 4000)
 
 
 def _views(spark, sf):
