@@ -10,6 +10,7 @@ from sightline.operators import cover as co
 from sightline.operators import curves as cv
 from sightline.operators import graph as g
 from sightline.operators import metrics as mt
+from sightline.operators import nullmodel as nm
 from sightline.operators import select as se
 from sightline.operators import unify as un
 from sightline.plans import fixtures as fx
@@ -273,13 +274,55 @@ def graph_metrics(spark, sf):
 
 @query()
 def random_contract(spark, sf):
+    """One contraction with given cluster sizes, brought to nine tenths and six fifths as many."""
     nodes = fx.node_types(spark, sf)
     counts, sizes = {r["type"]: r["count"] for r in nodes.groupBy("type").count().collect()}, {}
     for kind, width, share in (("ELEM", 5, 0.9), ("ISSUE", 4, 1.2)):
         whole, rest = divmod(counts.get(kind, 0), width)
-        own = [width] * whole + [rest] * (rest > 0)
-        sizes[kind] = mt.partition_sizes(own, round(share * len(own)))
-    return mt.random_contraction(nodes, sizes, 1).groupBy("type", "group").agg(F.count("*").alias("n"))
+        own = {width: whole} | ({rest: 1} if rest else {})
+        sizes[kind] = nm.resized(own, round(share * sum(own.values())))
+    return nm.contracted(nodes, sizes, 1).groupBy("type", "group").agg(F.count("*").alias("n"))
+
+
+#: Runs of the null model, and its groups: sizes of five and four, brought to nine tenths and six fifths as many.
+RUNS_DRAWN = 30
+NULL = gq.FACTS + """, e AS MATERIALIZED (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM edge_rows WHERE relation = 'concerns'), kinds AS (SELECT type, count(*) AS n FROM node_types WHERE type IN ('ELEM', 'ISSUE') GROUP BY type),
+cut AS (SELECT type, n, greatest(1, n // (CASE type WHEN 'ELEM' THEN 5 ELSE 4 END)) AS k FROM kinds),
+drawn AS (SELECT run, node_id, type, row_number() OVER (PARTITION BY run, type ORDER BY md5(run || ':' || node_id), node_id) - 1 AS place FROM node_types, range(1, 31) r(run) WHERE type IN ('ELEM', 'ISSUE')),
+gr AS MATERIALIZED (SELECT run, node_id, type || '#' || (CASE WHEN place < (k - n % k) * (n // k) THEN place // (n // k) ELSE (k - n % k) + (place - (k - n % k) * (n // k)) // (n // k + 1) END) AS g FROM drawn JOIN cut USING (type)),
+ce AS MATERIALIZED (SELECT DISTINCT x.run, least(x.g, y.g) AS a, greatest(x.g, y.g) AS b FROM e JOIN gr x ON x.node_id = a JOIN gr y ON y.node_id = b AND y.run = x.run WHERE x.g <> y.g),
+held AS MATERIALIZED (SELECT DISTINCT run, g, report_id FROM gr JOIN bridge USING (node_id)),
+j AS (SELECT run, count(*) AS joined FROM (SELECT DISTINCT ce.run, a, b FROM ce JOIN held x ON x.run = ce.run AND x.g = a JOIN held y ON y.run = ce.run AND y.g = b AND y.report_id = x.report_id) GROUP BY run),
+runs AS (SELECT n.run, n.n_nodes, m.n_edges, round(1 - coalesce(joined, 0) / m.n_edges, 6) AS cer FROM (SELECT run, count(DISTINCT g) AS n_nodes FROM gr GROUP BY run) n JOIN (SELECT run, count(*) AS n_edges FROM ce GROUP BY run) m USING (run) LEFT JOIN j USING (run))"""
+
+
+def _null(spark, sf):
+    """Groups of every run, and the links that they contract."""
+    kinds = fx.node_types(spark, sf).where("type IN ('ELEM', 'ISSUE')")
+    counts = {r["type"]: r["count"] for r in kinds.groupBy("type").count().collect()}
+    sizes = {t: nm.equal_sizes(n, n // (5 if t == "ELEM" else 4)) for t, n in counts.items()}
+    groups = fx.built(spark, sf, "null_groups", lambda: nm.contracted(kinds, sizes, RUNS_DRAWN))
+    return groups, g.simple_graph(fx.edge_rows(spark, sf).where("relation = 'concerns'")).select("a", "b")
+
+
+def _null_runs(spark, sf):
+    return fx.built(spark, sf, "null_runs", lambda: nm.run_metrics(*_null(spark, sf), fx.bridge(spark, sf)))
+
+
+@query(NULL + " SELECT CAST(run AS INT) AS run, n_nodes, n_edges, cer FROM runs")
+def null_metrics(spark, sf):
+    return _null_runs(spark, sf)
+
+
+@query(NULL + """, l AS (UNPIVOT (SELECT run, CAST(n_nodes AS DOUBLE) AS n_nodes, CAST(n_edges AS DOUBLE) AS n_edges, CAST(cer AS DOUBLE) AS cer FROM runs) ON n_nodes, n_edges, cer INTO NAME metric VALUE value)
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.025), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q500, round(quantile_cont(value, 0.975), 6) AS q975 FROM l GROUP BY metric""")
+def null_quantiles(spark, sf):
+    return nm.null_quantiles(_null_runs(spark, sf), ["n_nodes", "n_edges", "cer"])
+
+
+@query()
+def null_components(spark, sf):
+    return nm.run_components(*_null(spark, sf))
 
 
 # unification

@@ -46,7 +46,6 @@ def test_wilcoxon_counts_signs(spark):
 
 def test_t_distribution():
     assert metrics._beta(2.5, 0.5, 0.0) == 0 and abs(2 * (1 - metrics._beta(0.5, 0.5, 0.5)) - 1) < 1e-9
-    assert metrics.partition_sizes([5, 5], 4) == [2, 2, 3, 3] and metrics.partition_sizes([1, 2, 3], 2) == [3, 3]
 
 
 def test_components_of_chains_and_hubs(spark):
