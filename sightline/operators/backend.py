@@ -95,16 +95,3 @@ def model_column(df: DataFrame, task: str, make: Callable[[], Backend] = RuleBac
             yield pdf.assign(value=values, status=states)
 
     return df.mapInPandas(run, schema)
-
-
-def iterative_clusters(texts: list[str], oracle: Callable[[str], str], batch: int = 50) -> list[int]:
-    """Cluster numbers in batches that see the clusters so far; a last batch of under a tenth joins the one before."""
-    known: dict[str, int] = {}
-    out: list[int] = []
-    at = 0
-    while at < len(texts):
-        end = at + batch if len(texts) - at - batch >= 0.1 * batch else len(texts)
-        for t in texts[at:end]:
-            out.append(known.setdefault(oracle(t), len(known)))
-        at = end
-    return out

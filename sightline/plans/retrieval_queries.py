@@ -8,6 +8,7 @@ from sightline.operators import backend as be
 from sightline.operators import evaluate as ev
 from sightline.operators import filters as fl
 from sightline.operators import index as ix
+from sightline.operators import iterative as it
 from sightline.operators import metrics as mt
 from sightline.operators import paths as pt
 from sightline.operators import retrieve as rt
@@ -214,6 +215,14 @@ def graph_refine(spark, sf):
     return rows.select("query_id", "doc_id", "sim", "final", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH {fx.CORPUS_SQL}, o AS (SELECT app, id, issue_key, row_number() OVER (PARTITION BY app ORDER BY md5(id), id) AS i, count(*) OVER (PARTITION BY app) AS n FROM corpus WHERE app IS NOT NULL AND issue_key IS NOT NULL),
+f AS (SELECT app, issue_key, row_number() OVER (PARTITION BY app ORDER BY min(i)) AS c FROM o GROUP BY app, issue_key)
+SELECT app, id, app || '__C' || c AS cluster_id, CAST(CASE WHEN n > 50 AND n % 50 BETWEEN 1 AND 4 AND i > n - n % 50 THEN n // 50 ELSE (i - 1) // 50 + 1 END AS INT) AS batch_no FROM o JOIN f USING (app, issue_key)""")
+def model_clusters(spark, sf):
+    rows = fx.corpus(spark, sf).where("app IS NOT NULL AND issue_key IS NOT NULL").select("app", "id", "text", F.col("issue_key").alias("label"))
+    return it.cluster_apps(rows)
+
+
 @query()
 def hc_average(spark, sf):
     return vc.hierarchical(fx.vectors(spark, sf), k=20)

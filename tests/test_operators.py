@@ -100,7 +100,6 @@ def test_backend_defaults_on_failure(spark):
     assert good == {"1": "success", "2": "empty"} and df.columns == ["id", "text"]
     bad = backend.model_column(df, "extract", make=Broken, default="[]").collect()
     assert {(r["status"], r["value"]) for r in bad} == {("failed", "[]")}
-    assert backend.iterative_clusters(["a", "b", "a", "c"], str, 3) == [0, 1, 0, 2]
 
 
 def test_workbook_and_sinks(spark, tmp_path):
