@@ -28,11 +28,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: High-recall generators and the kind that their spans get.
+#: High-recall generators and the kind that their spans get. Only an account number's length is bounded: the standard
+#: allows 34 characters at most.
 GENERATORS = {
     "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?[\"']?[^\x20\x09-\x0D\"']{4,}+",
     "key": r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9@])",
-    "number": r"(?<![A-Za-z0-9.+-])(?:[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{10,30}[0-9]|\(?[0-9][0-9\x20().-]{7,28}[0-9])(?![A-Za-z0-9])",
+    "number": r"(?<![A-Za-z0-9.+-])(?:[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{10,30}[0-9]|\(?[0-9][0-9\x20().-]{7,}[0-9])(?![A-Za-z0-9])",
     "masked": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]++)++",
 }
 _PLAIN = r"(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![A-Za-z0-9])"
