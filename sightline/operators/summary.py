@@ -124,13 +124,13 @@ def repaired_clusters(clusters: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def summary_text(text: Column) -> Column:
-    """White space squeezed, a list's mark in front dropped, 300 characters at most."""
+    """White space squeezed, a list's mark in front dropped, 300 characters at most (fixed values)."""
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
     return F.substring(F.regexp_replace(squeezed, r"^[\-*\d.\s]+", ""), 1, 300)
 
 
 def boundary_token(text: Column, fallback: str = "llmcluster") -> Column:
-    """A name for files and methods: other characters become _, 64 at most, never empty."""
+    """A name for files and methods: other characters become _, 64 at most, never empty (fixed values)."""
     plain = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"[^a-zA-Z0-9_.\-]+", "_")
     token = F.trim(F.substring(plain, 1, 64), F.lit("_"))
     return F.when(token == "", fallback).otherwise(token)

@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sightline.functions.ids import normal_id, parse_ids
 from sightline.schema import EDGE, NODE, TRIPLE, first_present, require_columns
 
+#: Sheets that hold no reports, and the columns that may hold their text, in order of preference.
 SKIPPED_SHEETS = ("QA_Summary", "Label_Guide")
 TEXTS = ("primary_clue", "description", "text", "content", "desc")
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
