@@ -80,11 +80,13 @@ def _near(spark, sf):
     return vc.ranked(vc.dense_scores(_queries(spark, sf).select("app", "id", "vector"), cen), 20).withColumnRenamed("doc_id", "cluster_id")
 
 
+def _multi(spark, sf, scores):
+    return vc.ranked(rt.within_clusters(scores, fx.vectors(spark, sf), _near(spark, sf).where("rank <= 3")), 200)
+
+
 def _rankings(spark, sf):
     scores = _scores(spark, sf)
-    near = _near(spark, sf).where("rank <= 3")
-    multi = vc.ranked(rt.within_clusters(scores, fx.vectors(spark, sf), near), 200)
-    return {"global": vc.ranked(scores, 200), "multi": multi, "graph": _graph(spark, sf)}
+    return {"global": vc.ranked(scores, 200), "multi": _multi(spark, sf, scores), "graph": _graph(spark, sf)}
 
 
 #: The graph's rankings: every part's view, the 20 that hold most anchors, every 50th report as a query.
@@ -159,7 +161,7 @@ def cluster_only(spark, sf):
 
 @query(f"WITH {SCORES}{UNNESTED} SELECT app, query_id, doc_id, rank, score FROM multi WHERE rank <= 200")
 def multi_cluster_topl(spark, sf):
-    return _rankings(spark, sf)["multi"]
+    return _multi(spark, sf, _scores(spark, sf))
 
 
 FUSED = (gq.COSTS + LEGACY).replace("{", "{{").replace("}", "}}") + f""", {SCORES}{UNNESTED}, gr AS (SELECT 'emb' AS app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM found WHERE query_id IN (SELECT id FROM vectors) AND doc_id IN (SELECT id FROM vectors)),
