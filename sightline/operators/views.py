@@ -40,14 +40,15 @@ def jaccard_pairs(items: DataFrame, key: str = "node_id", view: str = "seed") ->
 
 
 def overlap_stats(items: DataFrame, key: str = "node_id", view: str = "seed") -> DataFrame:
-    """Mean, largest and non-zero mean Jaccard over all pairs of views, and the share that overlap. Pairs
-    without a common item are counted, not made."""
+    """Mean, largest and non-zero mean Jaccard over all pairs of views, the share that overlap,
+    and how many others a view overlaps with. Pairs without a common item are counted, not made."""
     n = items.select(view).distinct().agg(F.count("*").alias("n_views"))
     j = jaccard_pairs(items, key, view).agg(F.sum("jaccard").alias("total"), F.max("jaccard").alias("top"), F.count("*").alias("n_pos"))
     pairs = F.greatest(F.col("n_views") * (F.col("n_views") - 1) / 2, F.lit(1.0))
     return n.join(F.broadcast(j)).select(
         "n_views", F.col("n_pos").alias("n_overlapping"), F.round(F.coalesce("total", F.lit(0.0)) / pairs, 6).alias("jaccard_avg"), F.round(F.coalesce("top", F.lit(0.0)), 6).alias("jaccard_max"),
         F.round(F.coalesce("total", F.lit(0.0)) / F.greatest("n_pos", F.lit(1)), 6).alias("jaccard_avg_nonzero"), F.round(F.col("n_pos") / pairs, 6).alias("frac_overlapping"),
+        F.round(F.col("n_pos") / pairs * (F.col("n_views") - 1), 6).alias("overlap_degree"),
     )
 
 

@@ -9,10 +9,12 @@ from sightline.operators import compress as cm
 from sightline.operators import cover as co
 from sightline.operators import curves as cv
 from sightline.operators import graph as g
+from sightline.operators import merge as me
 from sightline.operators import metrics as mt
 from sightline.operators import nullmodel as nm
 from sightline.operators import select as se
 from sightline.operators import unify as un
+from sightline.operators import views as vw
 from sightline.plans import fixtures as fx
 from sightline.plans import graph_queries as gq
 
@@ -117,6 +119,28 @@ def capped_views(spark, sf):
     return se.capped(gq._costs(spark, sf), n, 0.002).select("seed", "n_reports", "cost")
 
 
+#: How much the chosen views overlap.
+JACCARD = PICKED + """, own AS (SELECT seed, node_id FROM items JOIN picked USING (seed)), n AS (SELECT seed, count(*) AS n FROM own GROUP BY seed),
+s AS (SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM own a JOIN own b USING (node_id) WHERE a.seed < b.seed GROUP BY 1, 2),
+j AS (SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON x.seed = a JOIN n y ON y.seed = b)"""
+
+
+def _chosen_items(spark, sf):
+    return gq._items(spark, sf).join(_picked(spark, sf).select("seed"), "seed", "left_semi")
+
+
+@query(JACCARD + """, c AS (SELECT count(*) AS n_views FROM n), t AS (SELECT coalesce(sum(jaccard), 0) AS total, coalesce(max(jaccard), 0) AS top, count(*) AS k FROM j)
+SELECT n_views, k AS n_overlapping, round(total / greatest(n_views * (n_views - 1) / 2, 1), 6) AS jaccard_avg, round(top, 6) AS jaccard_max, round(total / greatest(k, 1), 6) AS jaccard_avg_nonzero,
+round(k / greatest(n_views * (n_views - 1) / 2, 1), 6) AS frac_overlapping, round(k / greatest(n_views * (n_views - 1) / 2, 1) * (n_views - 1), 6) AS overlap_degree FROM c, t""")
+def redundancy(spark, sf):
+    return vw.overlap_stats(_chosen_items(spark, sf))
+
+
+@query(JACCARD + " SELECT a, b, shared, jaccard FROM j ORDER BY jaccard DESC, a, b LIMIT 20")
+def top_overlap_pairs(spark, sf):
+    return vw.jaccard_pairs(_chosen_items(spark, sf)).orderBy(F.desc("jaccard"), "a", "b").limit(20)
+
+
 CURVE = PICKED + f""", f AS (SELECT node_id, min(step) AS k FROM picked JOIN items USING (seed) GROUP BY node_id), u AS (SELECT count(*) AS n FROM node_types WHERE type IN ('PHEN', 'DIAG', 'ISSUE')),
 curve AS (SELECT k, count(node_id) AS covered, round(count(node_id) / max(n), 6) AS coverage FROM (SELECT unnest(range(1, {K} + 1)) AS k) g CROSS JOIN u LEFT JOIN (SELECT node_id, k AS first FROM f) ON first <= k GROUP BY k)"""
 
@@ -211,12 +235,21 @@ def _across(runs):
 
 @query()
 def merge_signature(spark, sf):
-    return se.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), threshold=0.2)
+    return _merged(spark, sf, me.Rules(threshold=0.2, max_nodes=4000))
 
 
 @query()
 def merge_report(spark, sf):
-    return se.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), threshold=0.05, mode="report")
+    return _merged(spark, sf, me.Rules(mode="report", threshold=0.05, max_nodes=4000))
+
+
+@query()
+def merge_ungated(spark, sf):
+    return _merged(spark, sf, me.Rules(gated=False, empty_both=0.0))
+
+
+def _merged(spark, sf, rules):
+    return me.merged(_views(spark, sf), fx.edge_rows(spark, sf).select("report_id"), rules=rules)
 
 
 @query()
@@ -228,10 +261,17 @@ def merge_compress(spark, sf):
 
 
 def _views(spark, sf):
-    reports, nodes, _ = gq._expanded(spark, sf, fx.few_seeds)
-    r = reports.groupBy("seed").agg(F.collect_set("report_id").alias("report_ids"))
-    n = nodes.join(fx.node_types(spark, sf), "node_id").groupBy("seed").agg(F.collect_list(F.struct("node_id", "type")).alias("nodes"))
-    return r.join(n, "seed").select(F.lit("all").alias("problem"), "seed", "report_ids", "nodes")
+    """Every part's view with its reports and nodes. A problem is a component of views that share a node: no view lacks
+    issues or symptoms, and the likeness of empty operations weighs less than any threshold here."""
+
+    def make():
+        reports, nodes, _ = gq._expanded(spark, sf)
+        typed = nodes.join(fx.node_types(spark, sf), "node_id")
+        r = reports.groupBy("seed").agg(F.collect_set("report_id").alias("report_ids"))
+        n = typed.groupBy("seed").agg(F.collect_list(F.struct("node_id", "type")).alias("nodes"))
+        return r.join(n, "seed").join(cm.problems(typed.where("type IN ('ISSUE', 'PHEN', 'DIAG', 'OP')").select("seed", "node_id")), "seed").select("problem", "seed", "report_ids", "nodes")
+
+    return fx.built(spark, sf, "views", make)
 
 
 # structure

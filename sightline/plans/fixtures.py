@@ -92,12 +92,23 @@ def seeds(spark, sf_dir: str) -> DataFrame:
 SEEDS_SQL = "seeds AS (SELECT 'P' || p_partkey AS seed FROM part)"
 
 
-def few_seeds(spark, sf_dir: str) -> DataFrame:
-    """Every 40th part as a seed, by number: a caller's short list, for what compares or folds all its views."""
-    return table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("seed"))
+def own_reports(spark, sf_dir: str) -> DataFrame:
+    """seed, report_id: the reports that mention each part, its view before the first hop."""
+    return bridge(spark, sf_dir).withColumnRenamed("node_id", "seed").join(seeds(spark, sf_dir), "seed", "left_semi").select("seed", "report_id")
 
 
-FEW_SEEDS_SQL = "seeds AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey % 40 = 0)"
+OWN_SQL = SEEDS_SQL + ", own AS (SELECT seed, report_id FROM bridge JOIN seeds ON node_id = seed)"
+
+
+def urgent_issues(spark, sf_dir: str) -> DataFrame:
+    """node_id, report_id: a scope of reports and types, parts within orders of the highest priority."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("report_id"))
+    issues = mentions(spark, sf_dir).where("type = 'ISSUE'").select(F.col("name").alias("node_id"), "report_id").distinct()
+    return issues.join(urgent, "report_id", "left_semi").select("node_id", "report_id")
+
+
+URGENT_SQL = """lean AS (SELECT DISTINCT name AS node_id, report_id FROM mentions
+  WHERE type = 'ISSUE' AND report_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'))"""
 
 
 def vectors(spark, sf_dir: str) -> DataFrame:

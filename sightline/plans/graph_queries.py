@@ -228,16 +228,16 @@ reports AS (SELECT seed, report_id, depth, n FROM n1 WHERE place <= {RMAX}),
 nodes AS (SELECT seed, node_id FROM reports JOIN bridge USING (report_id) UNION SELECT seed, seed FROM seeds)"""
 
 
-EXPAND, FEW = FACTS + ", " + fx.SEEDS_SQL + _EXPAND, FACTS + ", " + fx.FEW_SEEDS_SQL + _EXPAND
+EXPAND = FACTS + ", " + fx.SEEDS_SQL + _EXPAND
 
 
-def _expanded(spark, sf, seeds=fx.seeds):
+def _expanded(spark, sf):
     """Reports, nodes and status of each seed's expansion: three tables, from one run."""
-    names, made = [f"{seeds.__name__}_{kind}" for kind in ("reports", "nodes", "status")], []
+    names, made = [f"seeds_{kind}" for kind in ("reports", "nodes", "status")], []
 
     def make(i):
         if not made:
-            made.extend(ex.expand(seeds(spark, sf), fx.bridge(spark, sf), 1, RMAX))
+            made.extend(ex.expand(fx.seeds(spark, sf), fx.bridge(spark, sf), 1, RMAX))
         return made[i]
 
     return tuple(fx.built(spark, sf, name, lambda i=i: make(i)) for i, name in enumerate(names))
@@ -254,8 +254,8 @@ def expand_stop_reasons(spark, sf):
     return _expanded(spark, sf)[2].select("seed", "stopped_reason", "hop")
 
 
-# a graph without shared suppliers, where two hops stay small
-LEAN = FACTS + f""", lean AS (SELECT * FROM bridge WHERE node_id LIKE 'P%' AND CAST(substr(node_id, 2) AS INT) % 8 = 0), {fx.SEEDS_SQL}, r0 AS (SELECT seed, report_id, 0 AS depth FROM seeds JOIN lean ON node_id = seed),
+# a scope of reports and types, where two hops don't reach everything
+LEAN = FACTS + f""", {fx.URGENT_SQL}, {fx.SEEDS_SQL}, r0 AS (SELECT seed, report_id, 0 AS depth FROM seeds JOIN lean ON node_id = seed),
 v1 AS (SELECT DISTINCT seed, node_id FROM r0 JOIN lean USING (report_id)),
 g1 AS (SELECT seed, report_id, min(depth) AS depth FROM (SELECT * FROM r0 UNION ALL SELECT DISTINCT seed, report_id, 1 FROM v1 JOIN lean USING (node_id)) GROUP BY 1, 2),
 n1 AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, CAST(report_id AS BIGINT)) AS place, count(*) OVER (PARTITION BY seed) AS n, max(depth) OVER (PARTITION BY seed) AS deep FROM g1),
@@ -268,8 +268,7 @@ SELECT seed, report_id, depth FROM h1 UNION ALL SELECT seed, report_id, depth FR
 
 @query(LEAN)
 def expand_k2_strict(spark, sf):
-    lean = fx.bridge(spark, sf).where("node_id LIKE 'P%' AND CAST(substr(node_id, 2) AS INT) % 8 = 0")
-    return ex.expand(fx.seeds(spark, sf), lean, 2, 400, 0)[0].select("seed", "report_id", "depth")
+    return ex.expand(fx.seeds(spark, sf), fx.urgent_issues(spark, sf), 2, 400, 0)[0].select("seed", "report_id", "depth")
 
 
 LINKS = ", links AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM edge_rows WHERE relation IN ('concerns', 'accompanied_by')), bi AS (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links)"
@@ -310,21 +309,21 @@ _COSTS = """, er AS (SELECT report_id, count(*) AS k FROM edge_rows GROUP BY rep
 costs AS (SELECT seed, coalesce(n_reports, 0) AS n_reports, n_nodes, coalesce(n_edges, 0) AS n_edges, round(1.0 * coalesce(n_reports, 0) + 0.02 * n_nodes + 0.01 * coalesce(n_edges, 0), 6) AS cost FROM
   (SELECT seed, count(*) AS n_nodes FROM nodes GROUP BY seed) LEFT JOIN (SELECT seed, count(*) AS n_reports, CAST(sum(k) AS BIGINT) AS n_edges FROM reports JOIN er USING (report_id) GROUP BY seed) USING (seed))"""
 _ITEMS = ", items AS (SELECT seed, node_id FROM nodes JOIN node_types USING (node_id) WHERE type IN ('PHEN', 'DIAG', 'ISSUE'))"
-COSTS, FEW_COSTS = EXPAND + _COSTS, FEW + _COSTS
-ITEMS, FEW_ITEMS = COSTS + _ITEMS, FEW_COSTS + _ITEMS
+COSTS = EXPAND + _COSTS
+ITEMS = COSTS + _ITEMS
 
 
-def _costs(spark, sf, seeds=fx.seeds):
+def _costs(spark, sf):
     def make():
-        reports, nodes, _ = _expanded(spark, sf, seeds)
+        reports, nodes, _ = _expanded(spark, sf)
         return v.view_costs(reports, nodes, fx.edge_rows(spark, sf).select("report_id"))
 
-    return fx.built(spark, sf, f"{seeds.__name__}_costs", make)
+    return fx.built(spark, sf, "seeds_costs", make)
 
 
-def _items(spark, sf, seeds=fx.seeds):
-    make = lambda: v.covered(_expanded(spark, sf, seeds)[1], fx.node_types(spark, sf), UNIVERSE)
-    return fx.built(spark, sf, f"{seeds.__name__}_items", make)
+def _items(spark, sf):
+    make = lambda: v.covered(_expanded(spark, sf)[1], fx.node_types(spark, sf), UNIVERSE)
+    return fx.built(spark, sf, "seeds_items", make)
 
 
 @query(COSTS + " SELECT seed, n_reports, n_nodes, n_edges, CAST(cost AS DOUBLE) AS cost FROM costs")
@@ -337,30 +336,18 @@ def view_universe(spark, sf):
     return _items(spark, sf)
 
 
-@query(FEW_ITEMS + " SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM items a JOIN items b USING (node_id) WHERE a.seed < b.seed GROUP BY 1, 2")
-def view_blocking_pairs(spark, sf):
-    return v.sharing_pairs(_items(spark, sf, fx.few_seeds))
+OWN = FACTS + f""", {fx.OWN_SQL}, n AS (SELECT seed, count(*) AS n FROM own GROUP BY seed),
+s AS (SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM own a JOIN own b USING (report_id) WHERE a.seed < b.seed GROUP BY 1, 2)"""
 
 
-JACCARD = FEW_ITEMS + """, n AS (SELECT seed, count(*) AS n FROM items GROUP BY seed), s AS (SELECT a.seed AS a, b.seed AS b, count(*) AS shared FROM items a JOIN items b USING (node_id) WHERE a.seed < b.seed GROUP BY 1, 2),
-j AS (SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON x.seed = a JOIN n y ON y.seed = b)"""
+@query(OWN + " SELECT a, b, shared FROM s")
+def view_blocking_pairs(spark, sf):
+    return v.sharing_pairs(fx.own_reports(spark, sf), "report_id")
 
 
-@query(JACCARD + " SELECT a, b, shared, jaccard FROM j")
+@query(OWN + " SELECT a, b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN n x ON x.seed = a JOIN n y ON y.seed = b")
 def view_pairs_jaccard(spark, sf):
-    return v.jaccard_pairs(_items(spark, sf, fx.few_seeds))
-
-
-@query(JACCARD + """, c AS (SELECT count(*) AS n_views FROM n), t AS (SELECT coalesce(sum(jaccard), 0) AS total, coalesce(max(jaccard), 0) AS top, count(*) AS k FROM j)
-SELECT n_views, k AS n_overlapping, round(total / greatest(n_views * (n_views - 1) / 2, 1), 6) AS jaccard_avg, round(top, 6) AS jaccard_max, round(total / greatest(k, 1), 6) AS jaccard_avg_nonzero,
-round(k / greatest(n_views * (n_views - 1) / 2, 1), 6) AS frac_overlapping FROM c, t""")
-def redundancy(spark, sf):
-    return v.overlap_stats(_items(spark, sf, fx.few_seeds))
-
-
-@query(JACCARD + " SELECT a, b, shared, jaccard FROM j ORDER BY jaccard DESC, a, b LIMIT 20")
-def top_overlap_pairs(spark, sf):
-    return v.jaccard_pairs(_items(spark, sf, fx.few_seeds)).orderBy(F.desc("jaccard"), "a", "b").limit(20)
+    return v.jaccard_pairs(fx.own_reports(spark, sf), "report_id")
 
 
 @query(ITEMS + """, chosen AS (SELECT seed FROM costs ORDER BY cost DESC, seed LIMIT 10), hit AS (SELECT DISTINCT node_id FROM items JOIN chosen USING (seed)),

@@ -20,19 +20,6 @@ def test_greedy_prefers_score_then_gain_then_id():
     assert [r[1] for r in select.greedy(items, {"a": 3.0, "b": 2.0, "c": 9.0}, 5, budget=2.5)] == ["b"]
 
 
-def test_merge_gates_and_fixpoint():
-    def view(i, **parts):
-        own = {p: set(parts.get(p, ())) for p in select.PARTS}
-        return {"id": i, "reports": {i}, "nodes": set().union(*own.values()), "parts": own}
-
-    alike = [view("a", ISSUE="1", PHEN_DIAG="xy"), view("b", ISSUE="1", PHEN_DIAG="xy"), view("c", ISSUE="2", PHEN_DIAG="z")]
-    out = select.merge_views(alike)
-    assert sorted(sorted(v["members"]) for v in out) == [["a", "b"], ["c"]]
-    bare = [view("a", PHEN_DIAG="x"), view("b", PHEN_DIAG="y")]
-    assert len(select.merge_views(bare, empty_both=1.0)) == 1 and len(select.merge_views(bare, empty_both=0.0)) == 2
-    assert len(select.merge_views(alike, max_nodes=2)) == 3
-
-
 def test_wilcoxon_counts_signs(spark):
     d = [0.5, -0.2, 0.5, 0.9, 0.0, 0.1]
     own = sorted((abs(x), x > 0) for x in d if x)
@@ -207,7 +194,7 @@ def test_graph_ranking_counts_the_reports_own_anchors(spark):
 def test_merged_views_cost_as_unmerged_ones_do(spark):
     from pyspark.sql import functions as F
 
-    from sightline.operators import select, views
+    from sightline.operators import merge, views
 
     reports = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "2")], "seed string, report_id string")
     nodes = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "seed string, node_id string")
@@ -216,7 +203,7 @@ def test_merged_views_cost_as_unmerged_ones_do(spark):
     rows = reports.groupBy("seed").agg(F.collect_set("report_id").alias("report_ids")).join(
         nodes.groupBy("seed").agg(F.collect_list(F.struct("node_id", F.lit("ISSUE").alias("type"))).alias("nodes")), "seed"
     ).withColumn("problem", F.lit("all"))
-    assert {r["view_id"]: r["cost"] for r in select.merged(rows, edges, threshold=0.9).collect()} == want
+    assert {r["view_id"]: r["cost"] for r in merge.merged(rows, edges, rules=merge.Rules(threshold=0.9)).collect()} == want
 
 
 def test_bounded_hop_by_brute_force(spark):
