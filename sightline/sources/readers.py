@@ -8,13 +8,14 @@ import zipfile
 from collections.abc import Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sightline.functions.ids import normal_id, parse_ids
 from sightline.schema import EDGE, NODE, TRIPLE, first_present, require_columns
+from sightline.sources.locate import Folder
 
 #: Sheets that hold no reports, and the columns that may hold their text, in order of preference.
 SKIPPED_SHEETS = ("QA_Summary", "Label_Guide")
@@ -123,6 +124,25 @@ def reports(df: DataFrame, ordinal: str, app: str = "app") -> DataFrame:
     return out.withColumn("rank", rank).where("rank = 1").drop("rank", "ord")
 
 
+#: Columns that raw_scan adds.
+LINEAGE = ("sheet", "id_norm", "issue_key_norm", "text_used", "text_col_used")
+
+
+def raw_scan(df: DataFrame, sheet: Column) -> DataFrame:
+    """Every row as it came, with where its parts came from: the sheet, ids and issue keys in normal form, the text and the
+    column that gave it. A blank application is the sheet's. A column of df named like an added one is replaced."""
+    if missing := [c for c in ("id", "issue_key") if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    text = first_present(df, TEXTS)
+    blank = F.lit("")
+    app = F.coalesce(F.nullif(F.trim(F.col("app").cast("string")), blank), F.col("_sheet")) if "app" in df.columns else F.col("_sheet")
+    added = {
+        "app": app, "sheet": F.col("_sheet"), "id_norm": normal_id(F.col("id").cast("string")), "issue_key_norm": F.trim(F.coalesce(F.col("issue_key").cast("string"), blank)),
+        "text_used": F.trim(F.coalesce(F.col(text).cast("string"), blank)), "text_col_used": F.lit(text),
+    }
+    return df.withColumn("_sheet", sheet.cast("string")).withColumns(added).drop("_sheet")
+
+
 def entities(df: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Distinct entities of the triples' ends, of these types."""
     both = df.select(F.col("subject").alias("entity"), F.col("subject_type").alias("type")).unionByName(df.select(F.col("object").alias("entity"), F.col("object_type").alias("type")))
@@ -168,4 +188,7 @@ class FileProvider:
         return edges(read_table(self.spark, self.paths[1]))
 
     def defects(self) -> DataFrame | None:
-        return require_columns(read_table(self.spark, self.paths[2]), ("id", "description")) if self.paths[2] else None
+        """None where no path is given or nothing is there."""
+        if not self.paths[2] or not Folder(self.spark, self.paths[2]).exists():
+            return None
+        return require_columns(read_table(self.spark, self.paths[2]), ("id", "description"))

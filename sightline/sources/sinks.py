@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.sources.readers import LINEAGE
+
 
 def sheet_name(name: str) -> str:
     """At most 31 characters, none that a workbook forbids."""
@@ -19,6 +21,28 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/sheet={sheet_name(name)}")
 
 
+def kept_by_sheet(raw: DataFrame, kept: DataFrame) -> DataFrame:
+    """The raw rows (of readers.raw_scan) whose sheet and id were kept, without the columns that the scan added but the sheet."""
+    ids = kept.select("sheet", "id_norm").distinct()
+    return raw.join(ids, ["sheet", "id_norm"], "left_semi").drop(*(c for c in LINEAGE if c != "sheet"))
+
+
+def write_sheets(raw: DataFrame, kept: DataFrame, path: str) -> None:
+    """What was kept, in a folder for each sheet."""
+    kept_by_sheet(raw, kept).write.mode("overwrite").partitionBy("sheet").parquet(path)
+
+
+def append_log(answered: DataFrame, task: str, path: str) -> None:
+    """Adds a row for each request to a model (rows of backend.model_column): when, what was asked and answered, whether it
+    failed. Rows of one call share a time; a folder for each task."""
+    asked = F.to_json(F.struct(*(c for c in answered.columns if c not in ("value", "status"))))
+    rows = answered.select(
+        F.lit(task).alias("task"), F.current_timestamp().alias("at"), F.col("id").cast("string").alias("conversation_id"),
+        asked.alias("request"), F.col("value").alias("response"), F.col("status"), (F.col("status") != "failed").alias("success"),
+    )
+    rows.write.mode("append").partitionBy("task").parquet(path)
+
+
 def write_json(df: DataFrame, path: str, key: str | None = None) -> None:
     """JSON lines, in a folder for each value of key if one is given."""
     if key is None:
