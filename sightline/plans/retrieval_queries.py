@@ -85,8 +85,7 @@ def _multi(spark, sf, scores):
 
 
 def _rankings(spark, sf):
-    scores = _scores(spark, sf)
-    return {"global": vc.ranked(scores, 200), "multi": _multi(spark, sf, scores), "graph": _graph(spark, sf)}
+    return {"global": vc.ranked(_scores(spark, sf, 200), 200), "multi": _multi(spark, sf, _scores(spark, sf)), "graph": _graph(spark, sf)}
 
 
 #: The graph's rankings: every part's view, the 20 that hold most anchors, every 50th report as a query.
@@ -185,13 +184,13 @@ def fuse_allrel(spark, sf):
 @query(f"WITH {SCORES}, r AS (SELECT app, query_id, CAST(CAST(doc_id AS BIGINT) // 2 * 2 AS VARCHAR) AS doc_id, rank FROM glo WHERE rank <= 50), f AS (SELECT app, query_id, doc_id, min(rank) AS old FROM r WHERE doc_id <> query_id GROUP BY ALL) SELECT app, query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM f QUALIFY rank <= 20")
 def ranking_dedup(spark, sf):
     even = F.floor(F.col("doc_id").cast("bigint") / 2) * 2
-    return rt.cleaned(vc.ranked(_scores(spark, sf), 50).withColumn("doc_id", even.cast("string")), 20)
+    return rt.cleaned(vc.ranked(_scores(spark, sf, 50), 50).withColumn("doc_id", even.cast("string")), 20)
 
 
 @query(f"WITH {SCORES}, k AS (SELECT app, id, min(id) OVER (PARTITION BY app, CAST(id AS BIGINT) // 3) AS rep FROM vectors), r AS (SELECT g.app, g.query_id, d.rep AS doc_id, rank FROM glo g JOIN k q ON q.id = query_id JOIN k d ON d.id = doc_id WHERE rank <= 50 AND q.rep <> d.rep), f AS (SELECT app, query_id, doc_id, min(rank) AS old FROM r GROUP BY ALL) SELECT app, query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old) AS rank FROM f) WHERE rank <= 20".replace("PARTITION BY query_id ORDER BY old", "PARTITION BY query_id ORDER BY old, doc_id"))
 def ranking_by_text_key(spark, sf):
     keys = fx.vectors(spark, sf).select("app", "id", F.floor(F.col("id").cast("bigint") / 3).alias("key"))
-    return rt.by_text_key(vc.ranked(_scores(spark, sf), 50), keys, 20)
+    return rt.by_text_key(vc.ranked(_scores(spark, sf, 50), 50), keys, 20)
 
 
 @query(gq.COSTS + """, anchors AS (SELECT report_id AS query_id, node_id FROM bridge WHERE CAST(report_id AS BIGINT) % 50 = 0), hit AS (SELECT DISTINCT query_id, seed FROM anchors JOIN nodes USING (node_id)),
@@ -244,7 +243,7 @@ round(coalesce(h20 / n_rel, 0), 6) AS recall_at_20, round(coalesce(h50 / n_rel,
 
 
 def _metrics(spark, sf):
-    return ev.metrics(vc.ranked(_scores(spark, sf), 200), fx.vectors(spark, sf))
+    return ev.metrics(vc.ranked(_scores(spark, sf, 200), 200), fx.vectors(spark, sf))
 
 
 @query(METRICS + " SELECT * FROM pq")
