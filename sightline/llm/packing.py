@@ -35,13 +35,17 @@ PACKED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 class Encoder:
     """Little-endian 32-bit ids of whole texts through two generations of known words: when the younger
-    is full, the older goes. A worker process keeps its words from task to task."""
+    is full, the older goes. A worker process keeps its words from task to task. A tokenizer for which case or white
+    space matters is refused with a ValueError."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old, self.cache = Tokenizer.from_file(path), {}, {}, cache
+        seen, same = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in (" Some\n\tWORDS  here ", "some words here"))
+        if seen != same:
+            raise ValueError(f"{path}: words can't be encoded one by one, as case or white space matters")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True

@@ -55,6 +55,12 @@ def test_sequences_hold_the_ids_of_all_documents(spark):
         assert len(r["ids"]) == 4 * (n if n & (n - 1) == 0 else 4096) and set(r["ids"][4 * n :]) <= {0, 2}
 
 
+def test_tokenizers_that_keep_case_or_space_are_refused():
+    packing.Encoder(PATH)
+    with pytest.raises(ValueError, match="one by one"):
+        packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_first_fit_decreasing():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 101, 300)
