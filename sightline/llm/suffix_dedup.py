@@ -11,7 +11,8 @@
    merged by binary search of one's suffixes in the other's order. Anchors with more than HOT surroundings are first split by the bytes to the left or right:
    every string holds one half or the other, so halves are groups of their own, again and again.
 
-Texts that occur twice are repeated as a whole; a task uses one copy of those it meets. Hashes have 64 bits.
+Texts that occur twice are repeated as a whole; a task uses one copy of those it meets. A text is told by 128 bits of
+its SHA-256, an anchor in its surroundings by two hashes of 64 bits.
 
 Defined cases: null text counts as empty; texts below LENGTH bytes lose nothing; repeated rows are copies;
 matches never cross texts; an empty table gives an empty result; other columns are ignored.
@@ -88,20 +89,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def text_class(raw: bytes) -> bytes:
+    """What texts share that are equal, and no others: of 10^10 texts two differ under it with a chance below 10^-18."""
+    return hashlib.sha256(raw).digest()[:16]
+
+
 def whole_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, cls (hash of the text), n_bytes, sha."""
+    """doc_id, cls (text_class), n_bytes, sha."""
 
     def make():
         def work(batch):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             yield {
-                "doc_id": batch.column("doc_id"), "cls": [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in raw],
+                "doc_id": batch.column("doc_id"), "cls": [text_class(t) for t in raw],
                 "n_bytes": [len(t) for t in raw], "sha": [hashlib.sha256(t).hexdigest() for t in raw],
             }
 
         return work
 
-    return map_batches(texts(docs), "doc_id long, cls long, n_bytes long, sha string", make)
+    return map_batches(texts(docs), "doc_id long, cls binary, n_bytes long, sha string", make)
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -115,9 +121,9 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 data, offsets = _bytes(cut)
                 raw = data.tobytes()
                 at, fp = anchors(data, offsets, length, gram)
-                cls = np.array([xxhash.xxh3_64_intdigest(raw[x:y]) - (1 << 63) for x, y in zip(offsets[:-1], offsets[1:])], np.int64)
+                cls = [text_class(raw[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 fresh = np.zeros(len(cls), bool)
-                for i, c in enumerate(cls.tolist()):
+                for i, c in enumerate(cls):
                     if c not in met:
                         met.add(c)
                         fresh[i] = True
@@ -128,11 +134,11 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 digest = xxhash.xxh3_64_intdigest
                 ctx = np.fromiter((digest(raw[x:y]) for x, y in zip(a.tolist(), b.tolist())), np.uint64, len(at))
                 ctx ^= (at - a).astype(np.uint64) * np.uint64(_BASE)
-                yield {"fp": _signed(fp), "ctx": _signed(ctx), "cls": cls[doc], "pos": (at - offsets[doc]).astype(np.int32)}
+                yield {"fp": _signed(fp), "ctx": _signed(ctx), "cls": pa.array(cls, pa.binary()).take(pa.array(doc)), "pos": (at - offsets[doc]).astype(np.int32)}
 
         return work
 
-    return map_batches(texts(docs), "fp long, ctx long, cls long, pos int", make)
+    return map_batches(texts(docs), "fp long, ctx long, cls binary, pos int", make)
 
 
 def _of_class(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -144,16 +150,16 @@ def _of_class(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def make():
         def work(batch):  # a doc_id may stand for several texts: the class's own is meant
             for cut in slices(batch, "text"):
-                fine = [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) == c for c, t in zip(*(cut.column(k).to_pylist() for k in ("cls", "text")))]
+                fine = [text_class(t.encode()) == c for c, t in zip(*(cut.column(k).to_pylist() for k in ("cls", "text")))]
                 kept = cut.filter(pa.array(fine, pa.bool_()))
                 yield {"cls": kept.column("cls"), "text": kept.column("text")}
 
         return work
 
-    return map_batches(rows, "cls long, text string", make)
+    return map_batches(rows, "cls binary, text string", make)
 
 
-SURROUNDED = "key long, fp long, ctx long, cls long, start int, at int, many boolean, body binary"
+SURROUNDED = "key long, fp long, ctx long, cls binary, start int, at int, many boolean, body binary"
 
 
 def surroundings(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -323,7 +329,9 @@ def sharded(rows: DataFrame, length: int, size: int) -> DataFrame:
 
         def work(batch):
             for cut in slices(batch, "body", 1 << 20):
-                for row in zip(*(cut.column(c).to_pylist() for c in ("key", "fp", "ctx", "cls", "start", "at", "many", "body"))):
+                columns = {c: cut.column(c).to_pylist() for c in ("key", "fp", "ctx", "cls", "start", "at", "many", "body")}
+                columns["cls"] = [int.from_bytes(c[:8], "big", signed=True) for c in columns["cls"]]  # only told apart where 200 bytes are equal
+                for row in zip(*columns.values()):
                     # a shard ends with its anchor if it can; the anchor that spans shards is merged alone
                     if held and (len(held) >= SHARD or len(held) >= SHARD // 2 and held[-1][0] != row[0]):
                         yield from build(False)
@@ -370,21 +378,22 @@ def _removed(rows: DataFrame) -> DataFrame:
 
         return work
 
-    return map_batches(rows, f"cls long, spans {SPANS}, kept_sha256 string", make)
+    return map_batches(rows, f"cls binary, spans {SPANS}, kept_sha256 string", make)
 
 
 @scoped
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None) -> DataFrame:
-    """doc_id, cls (hash of the text), n_bytes, spans (array of start, end: the bytes to remove), kept_sha256."""
+    """doc_id, cls (text_class), n_bytes, spans (array of start, end: the bytes to remove), kept_sha256."""
     gram = gram or length // 2
     whole = durable(whole_texts(docs), "texts")
     copies = whole.groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.max("n_bytes").alias("n_bytes"))
     copies = durable(copies.where(F.col("n_bytes") >= length), "copies")
 
-    counted = anchored(docs, length, gram).groupBy("fp").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
+    placed = durable(anchored(docs, length, gram), "placed")  # read twice: once for two columns, once to be joined
+    counted = placed.groupBy("fp").agg(F.count("*").alias("n"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
     twice = counted.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("mixed"))
     twice = durable(twice, "twice")  # read back, so that the join can split an anchor that a large share of the rows has
-    found = durable(anchored(docs, length, gram).join(twice, "fp"), "anchors")
+    found = durable(placed.join(twice, "fp"), "anchors")
     kinds = found.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("cls", "pos")).alias("one"))
     kinds = durable(kinds, "kinds")
 
@@ -444,7 +453,7 @@ def cleaned_texts(docs: DataFrame, length: int = LENGTH, gram: int | None = None
     def classed():
         def work(batch):
             for cut in slices(batch, "text"):
-                yield {"doc_id": cut.column("doc_id"), "cls": [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t in cut.column("text").to_pylist()], "text": cut.column("text")}
+                yield {"doc_id": cut.column("doc_id"), "cls": [text_class(t.encode()) for t in cut.column("text").to_pylist()], "text": cut.column("text")}
 
         return work
 
@@ -456,5 +465,5 @@ def cleaned_texts(docs: DataFrame, length: int = LENGTH, gram: int | None = None
 
         return work
 
-    own = map_batches(texts(docs), "doc_id long, cls long, text string", classed).join(found, "cls", "left")
+    own = map_batches(texts(docs), "doc_id long, cls binary, text string", classed).join(found, "cls", "left")
     return map_batches(own, "doc_id long, kept binary", cut_out)
