@@ -60,6 +60,16 @@ def test_passages_hot_anchors_and_small_shards(spark, monkeypatch):
     assert cleaned(spark, rows, 40) == want
 
 
+def test_one_text_of_megabytes_that_repeats_itself_and_others(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    passage, long = " ".join(word() for _ in range(80)), " ".join(word() for _ in range(330_000))
+    long = long[:900_000] + passage + long[900_000:] + passage
+    assert len(long) > 2_000_000
+    rows = [(1, long), (2, "before " + passage[:250] + " behind"), (3, passage[:199]), (None, None)]
+    assert cleaned(spark, rows) == brute(rows, 200)
+
+
 def test_kept_texts_are_what_the_digests_say(spark):
     rows = made(3, 60) + [(901, "x" * 500), (902, None), (903, ""), (905, "short"), (5, "q" * 39), (905, "q" * 40), (906, "q" * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
