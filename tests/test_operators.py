@@ -229,3 +229,41 @@ def test_bounded_hop_by_brute_force(spark):
     seeds = spark.createDataFrame([("n20",), ("n12",), ("n30",)], "seed string")
     reports, _, _ = expand.expand(seeds, spark.createDataFrame(links, "node_id string, report_id string"), 1, 12)
     assert {tuple(r) for r in reports.select("seed", "report_id", "depth").collect()} == want
+
+
+def _plain_expansion(links, seeds, r_max):
+    of_node, of_report = {}, {}
+    for n, r in links:
+        of_node.setdefault(n, set()).add(r)
+        of_report.setdefault(r, set()).add(n)
+    want, order = set(), lambda r: (not r.isdigit(), int(r) if r.isdigit() else 0, r)
+    for seed in seeds:
+        depth = {r: 0 for r in of_node.get(seed, ())}
+        if len(depth) <= r_max:
+            depth |= {r: 1 for f in set(depth) for n in of_report[f] for r in of_node[n] if r not in depth}
+        want |= {(seed, r, depth[r]) for r in sorted(depth, key=lambda r: (depth[r], *order(r)))[:r_max]}
+    return want
+
+
+def test_expansion_by_hubs_looks_at_the_first_reports_alone(spark, monkeypatch):
+    from sightline.operators import expand
+
+    links = [("hub", str(r)) for r in range(400)] + [(f"n{r % 40}", str(r)) for r in range(400)]
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(40)], "seed string")
+    monkeypatch.setattr(expand, "_reached", None)
+    reports, _, _ = expand.expand(seeds, spark.createDataFrame(links, "node_id string, report_id string"), 1, 20)
+    assert {tuple(r) for r in reports.select("seed", "report_id", "depth").collect()} == _plain_expansion(links, [f"n{i}" for i in range(40)], 20)
+
+
+def test_expansion_with_and_without_hubs_and_with_text_ids(spark):
+    import random
+
+    from sightline.operators import expand
+
+    rng = random.Random(5)
+    near = [(f"n{rng.randrange(60)}", f"{'a' if r % 3 == 0 else ''}{r}") for r in (rng.randrange(900) for _ in range(900))]
+    links = sorted({*near, *(("hub", str(r)) for r in range(1, 200, 2))})
+    seeds = sorted({n for n, _ in links} | {"absent"})
+    reports, _, status = expand.expand(spark.createDataFrame([(s,) for s in seeds], "seed string"), spark.createDataFrame(links, "node_id string, report_id string"), 1, 30)
+    assert {tuple(r) for r in reports.select("seed", "report_id", "depth").collect()} == _plain_expansion(links, seeds, 30)
+    assert {r["seed"] for r in status.where("stopped_reason = 'seed-has-no-reports'").collect()} == {"absent"}
