@@ -24,10 +24,11 @@ def relabelled(triples: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def edge_bag(edges: DataFrame) -> DataFrame:
-    """Parallel edges kept as a count: source, relation, target, n_rows, n_reports."""
-    return edges.groupBy("source_type", "source", "relation", "target_type", "target").agg(
-        F.count("*").alias("n_rows"), F.countDistinct("report_id").alias("n_reports")
-    )
+    """Parallel edges kept as a count: source, relation, target, n_rows, n_reports. Counted in each report first, so that
+    of rows that are dealt by report partial counts alone are shuffled."""
+    key = ["source_type", "source", "relation", "target_type", "target"]
+    own = edges.groupBy("report_id", *key).agg(F.count("*").alias("n"))
+    return own.groupBy(*key).agg(F.sum("n").alias("n_rows"), F.count("report_id").alias("n_reports"))
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:
@@ -41,8 +42,11 @@ def backfilled(node_report: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def gained(node_report: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links that only the edges give."""
-    return edge_ends(edges).distinct().join(node_report, ["node_id", "report_id"], "left_anti")
+    """Links that only the edges give: grouped with the others and not joined, so that rows dealt by report stay where they are."""
+    known = node_report.select("report_id", "node_id", F.lit(True).alias("known"))
+    both = known.unionByName(edge_ends(edges).select("report_id", "node_id", F.lit(False).alias("known")))
+    links = both.where("report_id IS NOT NULL AND node_id IS NOT NULL").groupBy("report_id", "node_id").agg(F.max("known").alias("known"))
+    return links.where("NOT known").select("report_id", "node_id")
 
 
 def backfill_audit(node_report: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def type_histogram(types: DataFrame, spark) -> DataFrame:
 def simple_graph(edges: DataFrame) -> DataFrame:
     """Undirected, without loops and parallels: a < b, relations (joined), n_reports."""
     own = edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "relation", "report_id")
-    return own.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("relation")), "|").alias("relations"), F.countDistinct("report_id").alias("n_reports"))
+    by_relation = own.groupBy("report_id", "a", "b").agg(F.collect_set("relation").alias("relations"))
+    return by_relation.groupBy("a", "b").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("relations")))), "|").alias("relations"), F.count("report_id").alias("n_reports"))
 
 
 def consistent_ids(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
