@@ -38,27 +38,28 @@ def repair(text: str | None) -> str | None:
     ladder.append(lambda x: re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', x))
     ladder.append(lambda x: re.sub(r"'([^'\"]*)'", r'"\1"', x))
     ladder.append(_closed)
-    for step in range(len(ladder)):
-        for base in (s, whole):
-            out = base
-            for fix in ladder[: step + 1]:
-                out = fix(out)
-            try:
-                return json.dumps(json.loads(out), ensure_ascii=False)
-            except ValueError:
-                continue
+    now, tried = [s, whole], set()
+    for fix in ladder:
+        now = [fix(x) for x in now]
+        for out in now:
+            if out not in tried:
+                tried.add(out)
+                try:
+                    return json.dumps(json.loads(out), ensure_ascii=False)
+                except ValueError:
+                    continue
     return None
 
 
+#: What opens or closes a string or bracket, and what a backslash hides.
+MARKS = re.compile(r"""\\.|["\[\]{}]""", re.DOTALL)
+
+
 def _closed(s: str) -> str:
     """s with its open strings and brackets closed."""
-    stack, quoted, skip = [], False, False
-    for c in s:
-        if skip:
-            skip = False
-        elif c == "\\":
-            skip = True
-        elif c == '"':
+    stack, quoted = [], False
+    for c in MARKS.findall(s):
+        if c == '"':
             quoted = not quoted
         elif not quoted and c in "[{":
             stack.append("]" if c == "[" else "}")
