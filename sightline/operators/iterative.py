@@ -25,7 +25,8 @@ class TooLong(Exception):
 
 
 class Model(Protocol):
-    """assign(state, items): for each item's id the number of a cluster of the state, or a summary for a new one."""
+    """assign(state, items): for each item's id the number of a cluster of the state, or a summary for a new one. A model
+    that looks at less than text and label of an item says so in reads; only that is sent to it."""
 
     def assign(self, state: dict[str, str], items: list[dict]) -> dict[str, str]: ...
 
@@ -33,6 +34,8 @@ class Model(Protocol):
 class ByLabel:
     """A stand-in that clusters by an item's label. It knows the answer: a bound on what a model could reach."""
 
+    reads = ("label",)
+
     def assign(self, state: dict[str, str], items: list[dict]) -> dict[str, str]:
         known = {summary: number for number, summary in state.items()}
         return {str(x["id"]): known.get(x["label"], x["label"]) for x in items}
@@ -119,14 +122,15 @@ def grow(items: list[dict], state: dict, model: Model, size: int = 50, most: int
 
 def cluster_apps(reports: DataFrame, make: Callable[[], Model] = ByLabel, size: int = 50, most: int = 400) -> DataFrame:
     """app, id, cluster_id ("app__Cn"), batch_no. reports: app, id, text, label; an app is one sequence, as every batch
-    sees the clusters of those before."""
+    sees the clusters of those before. One task gets an app's ids and what the model reads of its items."""
+    read = ["id", *getattr(make(), "reads", ("text", "label"))]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         app = pdf["app"].iloc[0]
-        rows = grow(pdf[["id", "text", "label"]].to_dict("records"), empty_state(), make(), size, most)
+        rows = grow(pdf[read].to_dict("records"), empty_state(), make(), size, most)
         return pd.DataFrame([(app, i, f"{app}__C{c}", b) for i, c, b in rows], columns=["app", "id", "cluster_id", "batch_no"])
 
-    return reports.select("app", "id", "text", "label").groupBy("app").applyInPandas(run, ASSIGNED)
+    return reports.select("app", *read).groupBy("app").applyInPandas(run, ASSIGNED)
 
 
 def packed(state: dict) -> str:
